@@ -5,17 +5,68 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import spaced_seed_hits
 from .jaccard_join import ngram_jaccard_join
+from .line_dedup import line_dedup
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seed_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_spaced_seed_decontamination": op10_spaced_seed_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+            FROM documents),
+        keyed AS (
+            SELECT *, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM lines),
+        firsts AS (SELECT key, min(doc_id) AS first_doc FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+        marked AS (SELECT k.*, f.first_doc IS NOT NULL AND f.first_doc <> k.doc_id AS gone FROM keyed k LEFT JOIN firsts f ON k.key = f.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
+    "op10_spaced_seed_decontamination": r"""
+        WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+        b AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+        dp AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+        bp AS (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM b),
+        ds AS (SELECT doc_id, i, 1 AS m, [w[i], w[i+1], w[i+3], w[i+6], w[i+7], w[i+8]] AS s FROM dp WHERE i + 8 <= len(w)
+               UNION ALL SELECT doc_id, i, 2, [w[i], w[i+1], w[i+2], w[i+5], w[i+7], w[i+9]] FROM dp WHERE i + 9 <= len(w)),
+        bs AS (SELECT item_id, i, 1 AS m, [w[i], w[i+1], w[i+3], w[i+6], w[i+7], w[i+8]] AS s FROM bp WHERE i + 8 <= len(w)
+               UNION ALL SELECT item_id, i, 2, [w[i], w[i+1], w[i+2], w[i+5], w[i+7], w[i+9]] FROM bp WHERE i + 9 <= len(w)),
+        h AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.i - bs.i AS g FROM ds JOIN bs ON ds.m = bs.m AND ds.s = bs.s),
+        steps AS (SELECT h.doc_id, h.item_id, g, j, CASE WHEN d.w[j + g] = b.w[j] THEN 1 ELSE -1 END AS v
+                  FROM h JOIN d USING (doc_id) JOIN b USING (item_id), unnest(range(1, len(b.w) + 1)) AS u(j)
+                  WHERE j + g BETWEEN 1 AND len(d.w)),
+        sums AS (SELECT *, sum(v) OVER (PARTITION BY doc_id, item_id, g ORDER BY j) AS s FROM steps),
+        best AS (SELECT doc_id, item_id, g,
+                        s - least(0, coalesce(min(s) OVER (PARTITION BY doc_id, item_id, g ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS score
+                 FROM sums),
+        top AS (SELECT doc_id, item_id, g, max(score) AS score FROM best GROUP BY ALL)
+        SELECT doc_id, item_id, max(score)::BIGINT AS score, arg_max(g, score * 1000000000 - g)::BIGINT AS doc_pos
+        FROM top WHERE score >= 10 GROUP BY doc_id, item_id
+    """,
+}
