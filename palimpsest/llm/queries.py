@@ -11,12 +11,33 @@ from .common import table
 from .decontaminate import spaced_seed_hits
 from .jaccard_join import ngram_jaccard_join
 from .line_dedup import line_dedup
+from .packing import pack_documents
+from .url_filter import filter_urls
+from .warc import round_trip
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -27,12 +48,27 @@ def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_dictionary": op1_warc_dictionary,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op6_best_two_fit": op6_best_two_fit,
+    "op8_url_language_model": op8_url_language_model,
     "op9_line_dedup": op9_line_dedup,
     "op10_spaced_seed_decontamination": op10_spaced_seed_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_dictionary": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        d AS (SELECT page_id, octet_length(payload) AS payload_bytes, upper(sha1(payload)) AS hex FROM p),
+        firsts AS (SELECT hex, min(page_id) AS first FROM d GROUP BY hex),
+        groups AS (SELECT hex, list_transform(range(8), lambda g: ('0x' || hex[g * 5 + 1 : g * 5 + 5])::BIGINT) AS five FROM firsts)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+               array_to_string(list_transform(five, lambda v: array_to_string(list_transform([15, 10, 5, 0],
+                   lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v >> k) & 31) + 1]), '')), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to, true AS intact
+        FROM d JOIN firsts USING (hex) JOIN groups USING (hex)
+    """,
     "op9_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
