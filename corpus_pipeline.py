@@ -1,11 +1,79 @@
-"""The corpus pipeline: stages that each read what the one before kept."""
+"""The corpus pipeline: documents in, packed training sequences out, each stage on what the one before kept.
+
+Language ID drops documents in no language and relabels the others; line dedup cuts repeated lines; the
+Jaccard join keeps one document of each group of near duplicates; decontamination drops documents that hold
+benchmark passages; packing lays out the rest.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.llm.common import stored, table
+from palimpsest.llm.decontaminate import spaced_seed_hits
+from palimpsest.llm.jaccard_join import ngram_jaccard_join
+from palimpsest.llm.language import UNKNOWN, identify_documents
+from palimpsest.llm.line_dedup import keep_lines, line_bitmaps
+from palimpsest.llm.packing import pack_documents
+from palimpsest.llm.queries import tokenizer_path
+
+#: No SQL: language ID sums logarithms of a fitted model and packing needs a tokenizer.
+ORACLE_SQL = None
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among ids, null matching null."""
+    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language, with lang set to it. Those without any letters, or that the model of no
+    language explains best, go; so do rows of a doc_id that has such a text."""
+    found = identify_documents(docs)
+    of = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.when(F.col("lang") != UNKNOWN, F.col("lang"))).alias("_lang"), F.max((F.col("lang") == UNKNOWN).cast("int")).alias("_lost"))
+    joined = docs.join(of.where("_lost = 0"), docs.doc_id.eqNullSafe(F.col("_id")))
+    return joined.select(*(F.col("_lang").alias("lang") if c == "lang" else docs[c] for c in COLUMNS))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the lines that an earlier document holds cut out; n_chars follows. No document goes."""
+    kept = keep_lines(docs.select(*COLUMNS), line_bitmaps(docs))
+    changed = F.col("n_dropped") > 0
+    return kept.select("doc_id", F.when(changed, F.col("kept_text")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(changed, F.char_length("kept_text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least doc_id, and of repeated rows one."""
+    first = ngram_jaccard_join(docs).where("component_id is null or component_id = doc_id")
+    return _kept(docs.select(*COLUMNS), first).dropDuplicates(["doc_id", "text"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    leaks = spaced_seed_hits(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.select(*COLUMNS).join(leaks, docs.doc_id.eqNullSafe(F.col("_id")), "left_anti")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all documents in training sequences."""
+    return pack_documents(docs, tokenizer_path())
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

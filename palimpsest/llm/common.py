@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,13 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def open_store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The store behind a path as executors see it; file: URIs may have one slash or three."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
 _made: list[tuple[SparkSession, str]] = []
 
 

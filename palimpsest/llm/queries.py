@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import spaced_seed_hits
+from .hilbert import hilbert_shards
 from .jaccard_join import ngram_jaccard_join
+from .language import identify_pages
 from .line_dedup import line_dedup
+from .neighbours import nearest
 from .packing import pack_documents
+from .secrets import scan_secrets
 from .url_filter import filter_urls
 from .warc import round_trip
 
@@ -30,10 +34,26 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards(table(spark, sf_dir, "documents"))
+
+
+def op5_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op8_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -50,7 +70,11 @@ def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_dictionary": op1_warc_dictionary,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_guess_cost_secrets": op3_guess_cost_secrets,
+    "op4_hilbert_shards": op4_hilbert_shards,
+    "op5_multiprobe_neighbours": op5_multiprobe_neighbours,
     "op6_best_two_fit": op6_best_two_fit,
+    "op7_language_evidence": op7_language_evidence,
     "op8_url_language_model": op8_url_language_model,
     "op9_line_dedup": op9_line_dedup,
     "op10_spaced_seed_decontamination": op10_spaced_seed_decontamination,

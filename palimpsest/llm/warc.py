@@ -20,12 +20,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import open_store, scratch, stored
 
 SKIPPABLE = 0x184D2A5D  # fixed value: the magic number of a dictionary frame
 DICTIONARY_BYTES = 64 << 10
@@ -37,13 +36,6 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, archive string, offset long, intact boolean"
 
 
-def _open(path: str) -> tuple[pa.fs.FileSystem, str]:
-    """The store behind a path as executors see it; file: URIs may have one slash or three."""
-    if path.startswith("file:"):
-        return pa.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    return pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path)
-
-
 def _record_id(digest: str, page_id: int | None, row: int) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{digest}/{page_id}/{row}')}>"
 
@@ -73,7 +65,7 @@ class Writer:
     """One archive. Records are held until there is enough of them to build the dictionary from."""
 
     def __init__(self, path: str) -> None:
-        fs, where = _open(path)
+        fs, where = open_store(path)
         fs.create_dir(posixpath.dirname(where), recursive=True)
         self.out, self.held, self.size, self.written, self.compress = fs.open_output_stream(where), [], 0, 0, None
 
@@ -111,7 +103,7 @@ class Writer:
 
 def records(path: str) -> Iterator[tuple[int, bytes]]:
     """(offset, record) of an archive, one frame in memory at a time."""
-    fs, where = _open(path)
+    fs, where = open_store(path)
     with fs.open_input_stream(where, buffer_size=1 << 20) as f:
         magic, n = struct.unpack("<II", f.read(8))
         if magic != SKIPPABLE:
