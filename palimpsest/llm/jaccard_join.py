@@ -6,8 +6,8 @@ Plan, per document unless said otherwise:
    table of how often each hash bucket of shingles occurs in the whole corpus;
 2. documents with equal sets are one class, represented by their least id;
 3. a second pass orders each representative's set rare-first and keeps the prefix that any partner must hit;
-4. prefix shingles are joined. First only neighbours by size and the first of each shingle's documents are
-   paired, so a group of n near copies costs about n pairs. Verified links give components;
+4. prefix shingles are joined. First only neighbours by place in the prefix and the first of each shingle's
+   documents are paired, so a group of n near copies costs about n pairs. Verified links give components;
 5. the shingles that still join different components are joined in full, every pair across components
    that passes the filters is verified once, and the components are completed.
 
@@ -172,7 +172,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = _only(known, classes.select("doc_id").distinct())
     prefixes = reps.mapInArrow(_prefixes(n, num, den, buckets, levels), "doc long, n long, tokens array<long>")
     entries = prefixes.select("doc", "n", F.posexplode("tokens").alias("p", "token"))
-    by_token = Window.partitionBy("token").orderBy("n", "doc")
+    # first the documents with the fewest rarer shingles: of near copies those closest to the original
+    by_token = Window.partitionBy("token").orderBy("p", "n", "doc")
     this = F.struct("doc", "n", "p")
     entries = entries.select("token", "doc", "n", "p", F.lag(this).over(by_token).alias("prev"), F.lead("doc").over(by_token).alias("next"), F.first(this).over(by_token).alias("first"))
     entries = stored(entries.where("prev is not null or next is not null"), "entries")
