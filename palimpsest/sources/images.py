@@ -69,7 +69,7 @@ def write_files(rows: DataFrame, folder: str, name_col: str, blob_col: str) -> D
             done = []
             for name, blob in zip(batch.column("name").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 staged, final = posixpath.join(root, f".{uuid.uuid4().hex}"), posixpath.join(root, name)
-                with fs.open_output_stream(staged) as out:
+                with fs.open_output_stream(staged, compression=None) as out:
                     out.write(blob or b"")
                 fs.move(staged, final)
                 done.append({"name": name, "path": final, "size": len(blob or b"")})
