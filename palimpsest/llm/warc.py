@@ -67,7 +67,7 @@ class Writer:
     def __init__(self, path: str) -> None:
         fs, where = open_store(path)
         fs.create_dir(posixpath.dirname(where), recursive=True)
-        self.out, self.held, self.size, self.written, self.compress = fs.open_output_stream(where), [], 0, 0, None
+        self.out, self.held, self.size, self.written, self.compress = fs.open_output_stream(where, compression=None), [], 0, 0, None
 
     def _begin(self) -> None:
         samples = [x[:SAMPLE_BYTES] for x in self.held]
@@ -104,7 +104,7 @@ class Writer:
 def records(path: str) -> Iterator[tuple[int, bytes]]:
     """(offset, record) of an archive, one frame in memory at a time."""
     fs, where = open_store(path)
-    with fs.open_input_stream(where, buffer_size=1 << 20) as f:
+    with fs.open_input_stream(where, compression=None, buffer_size=1 << 20) as f:
         magic, n = struct.unpack("<II", f.read(8))
         if magic != SKIPPABLE:
             raise ValueError(f"{path}: no dictionary frame")

@@ -1,0 +1,214 @@
+"""The kernels against plain versions, without Spark."""
+
+import itertools
+import random
+import re
+import struct
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import zstandard
+
+from palimpsest.llm import hilbert, neighbours, packing, secrets, shingles, warc
+from palimpsest.llm.language import _trigrams, visible
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+ASCII_LOW = {i: i + 32 for i in range(65, 91)}
+TEXTS = ["", None, " \n\t", "a", "A b C d", "a b c d e", "a b c d e f a b c d e f", "é É ǅ\x0bx\x0cy", "Wort " * 50, "x" * 3000 + " y", "p q r s t u v w " * 200_000]
+
+
+def words(text):
+    return WORDS.findall((text or "").translate(ASCII_LOW))
+
+
+def shingle_set(text, n=5):
+    w = words(text)
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_shingles_agree_with_plain_sets(monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array(TEXTS, pa.string())], names=["text"])
+    for chunk in (1 << 20, 64):
+        monkeypatch.setattr(shingles, "CHUNK", chunk)
+        some = batch if chunk > 64 else batch.slice(0, 10)
+        sets = dict(shingles.shingle_sets(some, "text", 5))
+        assert list(sets) == list(range(len(some)))
+        for i, h in sets.items():
+            assert len(h) == len(shingle_set(TEXTS[i])) and list(h) == sorted(set(h.tolist()))
+        if chunk > 64:
+            whole = sets
+        else:
+            assert all((whole[i] == h).all() for i, h in sets.items())
+    a, b = (set(whole[i].tolist()) for i in (5, 6))
+    assert len(a & b) == len(shingle_set(TEXTS[5]) & shingle_set(TEXTS[6]))
+
+
+def test_hilbert_curve_is_a_path():
+    for dims, bits in ((2, 4), (3, 3), (1, 5)):
+        cells = np.array(list(itertools.product(range(1 << bits), repeat=dims)))
+        index = hilbert.hilbert_index(cells, bits)
+        assert sorted(index) == list(range(len(cells)))
+        assert set(np.abs(np.diff(cells[np.argsort(index)], axis=0)).sum(1)) == {1}
+
+
+def test_probe_order_is_by_cost_and_never_both_ways():
+    m, order = 4, neighbours.probe_order(4, 81)
+    assert len(order) == 81 and not order[0].any()  # 3 ** 4 combinations in all
+    assert len({tuple(r) for r in order}) == 81
+    cost = np.array([j * (j + 1) / (4 * (m + 1) * (m + 2)) for j in range(1, m + 1)] + [1 - (2 * m + 1 - j) / (m + 1) + (2 * m + 1 - j) * (2 * m + 2 - j) / (4 * (m + 1) * (m + 2)) for j in range(m + 1, 2 * m + 1)])
+    assert (np.diff(order @ cost) > -1e-12).all()
+    assert not any(r[s] and r[2 * m - 1 - s] for r in order for s in range(m))
+
+
+def plain_best_two_fit(lengths, size):
+    """Bin by bin over single pieces."""
+    left, bins = sorted(lengths), 0
+    while left:
+        gap, held = size, []
+        for n in sorted(left, reverse=True):
+            if n <= gap:
+                held.append(n)
+                gap -= n
+        for n in held:
+            left.remove(n)
+        if gap and len(held) > 1:
+            small = min(held)
+            best = max((a + b for (a, x), (b, y) in itertools.combinations_with_replacement(Counter(left).items(), 2) if a + b <= gap + small and (a != b or x > 1)), default=0)
+            if best > small:
+                pair = next((a, best - a) for a in sorted(set(left), reverse=True) if a <= best - a and (best - a in left if 2 * a != best else left.count(a) > 1))
+                held.remove(small)
+                left.append(small)
+                for n in pair:
+                    left.remove(n)
+                    held.append(n)
+        assert sum(held) <= size
+        bins += 1
+    return bins
+
+
+def check_plan(lengths, size):
+    counts, seen, used = Counter(lengths), Counter(), {}
+    for n, lo, hi, first, each, at in packing.best_two_fit(counts, size):
+        assert lo == seen[n] and hi > lo and (hi - lo) % each == 0
+        seen[n] = hi
+        for r in range(hi - lo):
+            used.setdefault(first + r // each, []).append((at + r % each * n, n))
+    assert seen == counts
+    for parts in used.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= size
+    assert sorted(used) == list(range(len(used)))
+    return len(used)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_the_plan_packs_as_bin_by_bin_does(seed):
+    rng = random.Random(seed)
+    size = rng.choice([10, 32, 100])
+    lengths = [min(size, 1 + int(rng.expovariate(1 / (size / rng.choice([2, 3, 8]))))) for _ in range(rng.randrange(1, 250))]
+    bins = check_plan(lengths, size)
+    assert bins == plain_best_two_fit(lengths, size)
+    assert bins >= -(-sum(lengths) // size)
+
+
+def test_the_plan_of_large_and_odd_histograms():
+    assert packing.best_two_fit({}, 8) == []
+    assert check_plan([8] * 5, 8) == 5
+    assert check_plan([1] * 1000, 8) == 125
+    rng = np.random.default_rng(1)
+    lengths = np.minimum(1024, rng.lognormal(5.5, 1.2, 100_000).astype(int) + 1).tolist()
+    assert check_plan(lengths, 1024) <= 1.002 * -(-sum(lengths) // 1024)
+
+
+def test_ids_are_those_of_the_tokenizers_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    names = pytest.importorskip("public_tokenizers")
+    path = names.path("byte_bpe_50k.json")
+    some = ["", " ", "Hello  world\n\n\tx", "naïve Ünïcode 東京 🙂", "it's we'll THEY'RE 12345 #!$%", "a<|endoftext|>b", "x" * 70_000, "    　y", "The and of erly thnder.\n" * 50]
+    slow = tokenizers.Tokenizer.from_file(path)
+    assert [list(x) for x in packing.encoder(path)(some)] == [slow.encode(t, add_special_tokens=False).ids for t in some]
+    path = names.path("word_bpe_49k.json")
+    slow = tokenizers.Tokenizer.from_file(path)
+    assert [list(x) for x in packing.encoder(path)(some[:4])] == [slow.encode(t, add_special_tokens=False).ids for t in some[:4]]
+
+
+def plain_cost(value):
+    """Minimum over all segmentations into the same spans, by enumeration from the right."""
+    low, n = value.lower(), len(value)
+    runs = {i: secrets.spans_from(value, low, i, {}) for i in range(n)}
+
+    def best(i, brute):
+        if i == n:
+            return 0.0
+        open_cost = 0.0 if i == 0 else secrets.PER_SPAN
+        out = secrets.PER_CHARACTER + (0.0 if brute else open_cost) + best(i + 1, True)
+        return min([out, *(open_cost + cost + best(j, False) for j, cost in runs[i])])
+
+    return best(0, False)
+
+
+def test_guess_cost_is_the_cheapest_segmentation():
+    rng = random.Random(3)
+    parts = ["password", "qwerty", "2024", "20240131", "aaaa", "abcd", "X9", "z!", "p4ssw0rd", "Dragon", "9876", "k"]
+    for _ in range(60):
+        value = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 3)))
+        assert secrets.guess_cost(value) == pytest.approx(plain_cost(value)), value
+    assert secrets.guess_cost("") == 0
+    weak, strong = ["password1", "changeme", "aaaaaaaaaaaa", "qwertyuiop", "2024-01-31"], ["9f8s7dG2hjK1", "x7#Kq2!mZp"]
+    assert max(map(secrets.guess_cost, weak)) < secrets.LEAST_GUESSES <= min(map(secrets.guess_cost, strong))
+    assert secrets.guess_cost("ab" * 20_000) > 0  # linear in the length
+
+
+def plain_base(text):
+    spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(spans)
+
+
+def test_base_spans():
+    rng = random.Random(4)
+    bits = ["password", "Token", "api_key", "APIKEY", "secret", " : ", "=", "'", '"', "AKIA", "ABCD1234EFGH5678", "deadbeef" * 3, "0a" * 11, "é", "abc", " ", "ſecret", "\n"]
+    for _ in range(400):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(12)))
+        assert secrets.base_spans(text) == plain_base(text), text
+    assert secrets.written([(1, 0, 9), (3, 2, 8)]) == "assign:1:9,hex:3:8"
+
+
+def test_archives_can_be_read_record_by_record(tmp_path):
+    path = f"file://{tmp_path}/a.warc.zst"
+    payloads = [b"", b"x", "naïve".encode() * 3, random.Random(1).randbytes(3_000_000), b"<html>" * 5000]
+    writer = warc.Writer(path)
+    for i, p in enumerate(payloads):
+        writer.add(warc.record(i, f"http://h/\r\n{i}" if i else None, i, p, len(p), "D", None))
+    writer.add(warc.record(9, "u", 9, None, 77, "D", (4, 4)))
+    writer.close()
+    raw = (tmp_path / "a.warc.zst").read_bytes()
+    magic, n = struct.unpack("<II", raw[:8])
+    words = zstandard.ZstdDecompressor().decompress(raw[8 : 8 + n])
+    assert magic == 0x184D2A5D and words
+    rows = list(warc.records(path))
+    assert len(rows) == 6
+    for at, x in rows:  # each frame alone, from its offset
+        one = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words)).decompressobj()
+        assert one.decompress(raw[at:]) == x
+    said = [warc.parsed(x) for _, x in rows]
+    assert [s["payload"] for s in said[:5]] == payloads and said[5]["payload"] is None
+    assert (said[5]["record_type"], said[5]["refers_to"], said[5]["payload_bytes"]) == ("revisit", 4, 77)
+    assert said[1]["url"] == "http://h/%0D%0A1" and said[0]["url"] is None
+    with pytest.raises((ValueError, zstandard.ZstdError)):
+        (tmp_path / "b.warc.zst").write_bytes(raw[:-10])
+        list(warc.records(f"file://{tmp_path}/b.warc.zst"))
+
+
+def test_letters_and_markup():
+    buf = np.frombuffer("Ab, c1d".encode(), np.uint8)
+    codes = [len(c) for _, _, c, _ in _trigrams(buf, np.array([0, 7]))]
+    assert codes == [len("ab c d") - 2]
+    assert visible("<p>a<script>b</p></script><!-- c --><style>d</style>&amp;e<br") == "  a    e<br" or "b" not in visible("<p>a<script>b</p></script>")
+    assert visible(None) == ""
