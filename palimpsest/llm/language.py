@@ -29,6 +29,8 @@ WEIGHT = 40.0
 #: Strength, in rows, with which a level of the host hierarchy is drawn to the next one.
 PULL = 4.0
 UNKNOWN = "und"
+#: By how much a trigram, as a natural logarithm, text must be likelier in no language to count as such.
+STRANGE = 4.0
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _LOW = np.arange(256, dtype=np.uint8)
@@ -44,23 +46,24 @@ def visible(html: str | None) -> str:
 
 
 def _trigrams(buf: np.ndarray, offsets: np.ndarray):
-    """(lo, hi, codes, row): of texts lo to hi - 1, the cells of their trigrams of lower-cased letters and gaps
-    and the texts they belong to. Runs of other bytes are one gap; a trigram of gaps only cannot arise."""
+    """(lo, hi, codes, row, letters): of texts lo to hi - 1, the cells of their trigrams of lower-cased letters and
+    gaps, the texts they belong to, and how many letter bytes each text has. Runs of other bytes are one gap; a
+    trigram of gaps only cannot arise."""
     n, i = len(offsets) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
         part = buf[offsets[i] : offsets[j]]
         row = np.repeat(np.arange(i, j), np.diff(offsets[i : j + 1]))
         letter = _LETTER[part]
+        letters = np.bincount(row[letter] - i, minlength=j - i)
         first = np.ones(len(part), bool)
         first[1:] = row[1:] != row[:-1]
         keep = letter.copy()
         keep[1:] |= letter[:-1] & ~first[1:]
         b, row = np.where(letter, _LOW[part], _SPACE)[keep].astype(np.uint32), row[keep]
-        if len(b) > 2:
-            same = row[2:] == row[:-2]
-            code = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761) >> np.uint32(16)
-            yield i, j, code[same], row[2:][same]
+        same = row[2:] == row[:-2]
+        code = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761) >> np.uint32(16) if len(b) > 2 else b[:0]
+        yield i, j, code[same], row[2:][same], letters
         i = j
 
 
@@ -68,7 +71,7 @@ def _counts(batches):
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         langs, (buf, offsets) = batch.column("label").to_pylist(), column(batch, "text")
-        for _, _, code, row in _trigrams(buf, offsets):
+        for _, _, code, row, _ in _trigrams(buf, offsets):
             for r in np.unique(row):
                 have = total.setdefault(langs[r], np.zeros(CELLS, np.int64))
                 have += np.bincount(code[row == r], minlength=CELLS)
@@ -104,8 +107,9 @@ def _scores(model, strip: bool):
                 buf, offsets = column(pa.RecordBatch.from_arrays([text], names=["text"]), "text")
             else:
                 buf, offsets = column(batch, "text")
-            total, n = np.zeros((len(batch), len(langs) + 1)), np.zeros(len(batch))
-            for lo, hi, code, row in _trigrams(buf, offsets):
+            total, n, letters = np.zeros((len(batch), len(langs) + 1)), np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            for lo, hi, code, row, some in _trigrams(buf, offsets):
+                letters[lo:hi] = some
                 n[lo:hi] += np.bincount(row - lo, minlength=hi - lo)
                 for k in range(len(langs) + 1):
                     total[lo:hi, k] += np.bincount(row - lo, logs[code, k], minlength=hi - lo)
@@ -113,7 +117,7 @@ def _scores(model, strip: bool):
             total -= total.max(axis=1, keepdims=True)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * (len(langs) + 1), pa.int32()), pa.array(np.round(total, 6).ravel()))
             names = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n.astype(np.int64)), flat], names=[*names, "letters", "text_logs"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(letters), pa.array(n), flat], names=[*names, "letters", "trigrams", "text_logs"])
 
     return run
 
@@ -139,13 +143,14 @@ def _posterior(logs: list[Column]) -> list[Column]:
 def fuse(scored: DataFrame, langs: list[str]) -> DataFrame:
     """scored (declared, host, domain, suffix, letters, text_logs, ...) with lang, posterior, text_lang.
 
-    A row is in the language with the greatest posterior. It is UNKNOWN if its text holds no letter trigram or
-    the model of no language explains the text best. Evidence that a row lacks (null) adds nothing.
+    A row is in the language with the greatest posterior. It is UNKNOWN if its text holds no letter, or if the
+    model of no language explains it better than any language by STRANGE a trigram: most of its trigrams are
+    then ones that no language has. Evidence that a row lacks (null, or no trigram) adds nothing.
     """
     k = len(langs)
     keys = ["declared", "host", "domain", "suffix"]
     post = _posterior([F.col("text_logs")[i] for i in range(k)])
-    soft = scored.select("*", *(F.when(F.col("letters") > 0, p).otherwise(F.lit(0.0)).alias(f"s{i}") for i, p in enumerate(post)), (F.col("letters") > 0).cast("int").alias("one"))
+    soft = scored.select("*", *(F.when(F.col("trigrams") > 0, p).otherwise(F.lit(0.0)).alias(f"s{i}") for i, p in enumerate(post)), (F.col("trigrams") > 0).cast("int").alias("one"))
     sums = lambda name: [*(F.round(F.sum(f"s{i}"), 6).alias(f"{name}{i}") for i in range(k)), F.sum("one").alias(f"{name}n")]
     out = soft
     for key in keys:
@@ -168,18 +173,18 @@ def fuse(scored: DataFrame, langs: list[str]) -> DataFrame:
     out = out.withColumns({f"p{i}": p for i, p in enumerate(final)})
     best = F.array_max(F.array(*(F.struct(F.col(f"l{i}").alias("l"), F.lit(-i).alias("i"), F.lit(name).alias("lang"), F.col(f"p{i}").alias("p")) for i, name in enumerate(langs))))
     text_best = F.array_max(F.array(*(F.struct(F.col("text_logs")[i].alias("l"), F.lit(-i).alias("i"), F.lit(name).alias("lang")) for i, name in enumerate(langs))))
-    none = (F.col("letters") == 0) | (F.col("text_logs")[k] > text_best["l"])
+    none = (F.col("letters") == 0) | (F.col("text_logs")[k] - text_best["l"] > STRANGE * F.least(F.col("trigrams"), F.lit(WEIGHT)))
     lost = F.lit(UNKNOWN)
     return out.select(*scored.columns, F.when(none, lost).otherwise(best["lang"]).alias("lang"), F.when(none, F.lit(0.0)).otherwise(F.round(best["p"], 6)).alias("posterior"), F.when(none, lost).otherwise(text_best["lang"]).alias("text_lang"))
 
 
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], strip: bool) -> DataFrame:
-    """rows (id, text, declared, host, domain, suffix) -> (id, declared, host, domain, suffix, letters, lang,
-    posterior, text_lang), a row a row. strip: whether the text is markup. With no languages all are UNKNOWN;
-    null and empty texts are UNKNOWN; null ids and repeated rows come back as they are."""
+    """rows (id, text, declared, host, domain, suffix) -> (id, declared, host, domain, suffix, letters, trigrams,
+    lang, posterior, text_lang), a row a row. strip: whether the text is markup. With no languages all are UNKNOWN;
+    texts without a letter, null ones too, are UNKNOWN; null ids and repeated rows come back as they are."""
     langs, _ = model
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    kinds = "id long, declared string, host string, domain string, suffix string, letters long, text_logs array<double>"
+    kinds = "id long, declared string, host string, domain string, suffix string, letters long, trigrams long, text_logs array<double>"
     scored = rows.select("id", F.coalesce("text", F.lit("")).alias("text"), "declared", "host", "domain", "suffix").mapInArrow(_scores(shared, strip), kinds)
     if not langs:
         return scored.select(*scored.columns[:-1], F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("posterior"), F.lit(UNKNOWN).alias("text_lang"))

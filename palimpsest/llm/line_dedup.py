@@ -58,14 +58,15 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with n_lines, n_dropped and kept_text: the lines that the bitmaps keep, joined by a line feed."""
-    marks = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("n_dropped").cast("long").alias("_n"), F.col("keep").alias("_keep"))
-    on = docs[id_col].cast("long").eqNullSafe(F.col("_doc")) & (_text_key(docs[text_col].cast("string")) == F.col("_key"))
-    joined = docs.join(marks, on, "left")
-    lines = _lines(docs[text_col].cast("string"))
-    cut = F.array_join(F.flatten(F.transform("_keep", lambda r: F.slice(lines, r["start"] + 1, r["count"]))), "\n")
-    kept = F.when(F.col("_keep").isNull(), F.coalesce(docs[text_col].cast("string"), F.lit(""))).otherwise(cut)
-    return joined.select(*[docs[c] for c in docs.columns], F.size(lines).cast("long").alias("n_lines"), F.coalesce("_n", F.lit(0)).alias("n_dropped"), kept.alias("kept_text"))
+    """docs with n_lines, n_dropped and kept_text (in place of columns so named): the lines that the bitmaps keep, joined by a line feed."""
+    marks = bitmaps.select("doc_id", "text_key", F.col("n_dropped").cast("long").alias("n_dropped"), "keep")
+    text = docs[text_col].cast("string")
+    on = docs[id_col].cast("long").eqNullSafe(marks["doc_id"]) & (_text_key(text) == marks["text_key"])
+    lines, keep = _lines(text), marks["keep"]
+    cut = F.array_join(F.flatten(F.transform(keep, lambda r: F.slice(lines, r["start"] + 1, r["count"]))), "\n")
+    kept = F.when(keep.isNull(), F.coalesce(text, F.lit(""))).otherwise(cut)
+    added = [F.size(lines).cast("long").alias("n_lines"), F.coalesce(marks["n_dropped"], F.lit(0)).alias("n_dropped"), kept.alias("kept_text")]
+    return docs.join(marks, on, "left").select(*[docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")], *added)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import open_store, scratch
+from .common import open_store, stored
 
 TABLES, HASHES, PROBES, WIDTH = 28, 10, 400, 1.25
 SAMPLE = 512  # rows, those whose ids have the least hashes, whose median distance is the scale
@@ -88,14 +88,15 @@ def _query_blocks(files: list[str]):
                     yield batch.column("vec_id").to_numpy(), _matrix(batch, "v")
 
 
-def _nearest(ids: np.ndarray, x: np.ndarray, index: Index, files: list[str], k: int):
+def _nearest(ids: np.ndarray, x: np.ndarray, index: Index | None, files: list[str], k: int):
+    """(query, ids, distances) of the k nearest of the rows x for each query of files; without an index, of all."""
     tables = []
-    for t in range(len(index.lines)):
+    for t in range(len(index.lines) if index else 0):
         bucket, of = np.unique(index.buckets(x, t), return_inverse=True)
         tables.append((bucket, of.astype(np.int32)))
     squares = np.einsum("ij,ij->i", x, x)
     for query_ids, q in _query_blocks(files):
-        near = np.zeros((len(q), len(x)), bool)
+        near = np.full((len(q), len(x)), index is None)
         for t, (bucket, of) in enumerate(tables):
             probes = index.probes(q, t)
             at = np.minimum(np.searchsorted(bucket, probes), len(bucket) - 1)
@@ -117,7 +118,7 @@ def _nearest(ids: np.ndarray, x: np.ndarray, index: Index, files: list[str], k:
             yield query, ids[some[best]], score[best]
 
 
-def _search(index: Index, files: list[str], k: int):
+def _search(index: Index | None, files: list[str], k: int):
     def found(ids, xs):
         with np.errstate(over="ignore"):
             rows = list(_nearest(np.concatenate(ids), np.concatenate(xs), index, files, k))
@@ -149,7 +150,7 @@ def nearest(vectors: DataFrame, queries: str = "pmod(vec_id, 100) = 0", k: int =
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do vectors
     whose length is not the commonest one (ties: the shorter), nor null ids. A row is no candidate of its
     own vec_id; of rows that repeat a vec_id the nearest counts, and as a query the least vector. Without
-    valid rows the result is empty.
+    valid rows the result is empty. Queries for which hashing finds fewer than k rows are held against all rows.
     """
     spark = vectors.sparkSession
     v = vectors[vector_col].cast("array<double>")
@@ -163,10 +164,16 @@ def nearest(vectors: DataFrame, queries: str = "pmod(vec_id, 100) = 0", k: int =
     apart = np.sqrt(((some[:, None] - some[None]) ** 2).sum(-1))[np.triu_indices(len(some), 1)]
     index = Index(sizes.dim, float(np.median(apart[apart > 0])) if (apart > 0).any() else 1.0, tables, hashes, probes)
 
-    path = scratch(spark, "queries")
-    rows.where(queries).groupBy("vec_id").agg(F.min("v").alias("v")).write.parquet(path)
-    files = sorted(spark.read.parquet(path).inputFiles())
-    found = rows.mapInArrow(_search(index, files, k), "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    asked = stored(rows.where(queries).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    columns = "query_id long, vec_id long, score double"
+
+    def found(index: Index | None, some: DataFrame) -> DataFrame:
+        hits = rows.mapInArrow(_search(index, sorted(some.inputFiles()), k), columns)
+        return hits.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+
+    found_by_hash = stored(found(index, asked), "found")
+    enough = found_by_hash.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+    short = stored(asked.join(enough, "vec_id", "left_anti"), "short")
+    all_found = found_by_hash.union(found(None, short)).distinct() if short.limit(1).count() else found_by_hash  # too few were hashed together: all rows are compared
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return all_found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
