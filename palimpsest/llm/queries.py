@@ -93,6 +93,20 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id <> first THEN first END AS refers_to, true AS intact
         FROM d JOIN firsts USING (hex) JOIN groups USING (hex)
     """,
+    "op2_ngram_jaccard_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                          '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM i),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+        r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.node),
+        t AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, t.component_id
+        FROM d JOIN t ON t.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+    """,
     "op9_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
