@@ -60,7 +60,7 @@ def test_header_build_and_parse_are_inverse(spark):
         for name, value in values.items():
             got = row.h[name]
             assert (bytes(got) if isinstance(got, bytearray) else got) == value, name
-    short = spark.createDataFrame([(b"MFP1",), (None,)], "blob binary").select(L.header(F.col("blob")).alias("h"), L.sniff(F.col("blob")).alias("s")).collect()
+    short = spark.createDataFrame([(L.MAGIC_1.to_bytes(4, "little"),), (None,)], "blob binary").select(L.header(F.col("blob")).alias("h"), L.sniff(F.col("blob")).alias("s")).collect()
     assert [(r.h.magic, r.h.flags, r.s) for r in short] == [(L.MAGIC_1, None, 1), (None, None, None)]
 
 
