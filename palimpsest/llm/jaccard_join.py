@@ -32,19 +32,20 @@ BUCKETS = 1 << 20
 BLOCK = 1 << 14
 #: Ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-PARTS = 32  # parts of the hash range that the suffix filter compares
+PARTS_LOG2 = 8  # the suffix filter compares counts in 256 parts of the hash range
 
 
 def _profile(n: int, buckets: int):
     def run(batches):
         seen = np.zeros(buckets, np.uint32)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("hist", pa.list_(pa.int32())), ("block", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             size, fa, fb = (np.zeros(len(batch), np.int64) for _ in range(3))
-            held, held_n = [], 0
+            held, held_n, hist = [], 0, np.zeros((len(batch), 1 << PARTS_LOG2), np.int32)
             with np.errstate(over="ignore"):
                 for i, h in shingle_sets(batch, "text", n):
                     if len(h):
+                        hist[i] = np.bincount((h >> np.uint64(64 - PARTS_LOG2)).view(np.int64), minlength=1 << PARTS_LOG2)
                         size[i], fa[i] = len(h), int(np.add.reduce(mix(h ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64))
                         fb[i] = int(np.add.reduce(mix(h * np.uint64(0x2545F4914F6CDD1D) + np.uint64(len(h)))).view(np.int64))
                         held.append(h)
@@ -55,12 +56,13 @@ def _profile(n: int, buckets: int):
             if held:
                 seen += np.bincount((np.concatenate(held) & np.uint64(buckets - 1)).view(np.int64), minlength=buckets).astype(np.uint32)
             none = len(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(fa), pa.array(fb), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], schema=schema)
+            parts = pa.ListArray.from_arrays(pa.array(np.arange(none + 1) << PARTS_LOG2, pa.int32()), pa.array(hist.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(fa), pa.array(fb), parts, pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], schema=schema)
         if seen.any():
             blocks = [(b, seen[b * BLOCK : (b + 1) * BLOCK]) for b in range(-(-buckets // BLOCK))]
             rows = [(b, zlib.compress(x.tobytes(), 1)) for b, x in blocks if x.any()]
             empty = [pa.nulls(len(rows), pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([*empty, pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*empty, pa.nulls(len(rows), pa.list_(pa.int32())), pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], schema=schema)
 
     return run
 
@@ -112,24 +114,25 @@ def _prefixes(n: int, num: int, den: int, buckets: int, levels):
 def _sets(n: int):
     def run(batches):
         for batch in batches:
-            parts, lengths, hist = [], np.zeros(len(batch) + 1, np.int64), np.zeros((len(batch), PARTS), np.int32)
-            shift = np.uint64(64 - PARTS.bit_length() + 1)
+            parts, lengths = [], np.zeros(len(batch) + 1, np.int64)
             for i, h in shingle_sets(batch, "text", n):
                 lengths[i + 1] = len(h)
-                hist[i] = np.bincount((h >> shift).view(np.int64), minlength=PARTS)
                 parts.append(h)
             flat = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
             sets = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(flat))
-            hists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * PARTS, pa.int32()), pa.array(hist.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), sets, hists], names=["doc", "tokens", "hist"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), sets], names=["doc", "tokens"])
 
     return run
 
 
+def _sided(df: DataFrame) -> DataFrame:
+    """df to be broadcast in a join if it has few rows of ids, else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
+
+
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is among ids (one column, distinct)."""
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    return docs.join(_sided(ids), "doc_id", "left_semi")
 
 
 def _passes(num: int, den: int):
@@ -139,17 +142,24 @@ def _passes(num: int, den: int):
     return F.expr(f"x != y and {length} and {position}")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link. Sets are made again from the texts of the documents in question only."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(_only(docs, ids).mapInArrow(_sets(n), "doc long, tokens array<long>, hist array<int>"), "sets")
-    x, y = (sets.select(F.col("doc").alias(k), F.col("tokens").alias(f"t{k}"), F.col("hist").alias(f"h{k}")) for k in "ab")
-    both = pairs.join(x, "a").join(y, "b")
-    size = F.size("ta") + F.size("tb")
-    most = F.aggregate(F.zip_with("ha", "hb", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-    same = F.size(F.array_intersect("ta", "tb"))
-    suffix = most * (num + den) >= size * num  # what the parts of the hash range leave possible
-    return both.where(suffix).where(same * den >= (size - same) * num).select("a", "b")
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+
+def _verified(docs: DataFrame, sized: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link. The suffix filter goes first, on the counts in parts of the hash range: shingles
+    in common are at most the smaller counts' sum. Sets are made again from the texts of what remains."""
+    hists = _only(sized.select("doc_id", "hist"), _ids(pairs))
+    x, y = (hists.select(F.col("doc_id").alias(k), F.col("hist").alias(f"h{k}")) for k in "ab")
+    total = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + v)
+    most = total(F.zip_with("ha", "hb", lambda p, q: F.least(p, q)))
+    suffix = most * (num + den) >= (total("ha") + total("hb")) * num
+    near = stored(pairs.join(x, "a").join(y, "b").where(suffix).select("a", "b"), "near")
+
+    sets = stored(_only(docs, _ids(near)).mapInArrow(_sets(n), "doc long, tokens array<long>"), "sets")
+    x, y = (sets.select(F.col("doc").alias(k), F.col("tokens").alias(f"t{k}")) for k in "ab")
+    size, same = F.size("ta") + F.size("tb"), F.size(F.array_intersect("ta", "tb"))
+    return near.join(x, "a").join(y, "b").where(same * den >= (size - same) * num).select("a", "b")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (75, 100), buckets: int = BUCKETS) -> DataFrame:
@@ -163,8 +173,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     num, den = threshold
     spark, docs = docs.sparkSession, texts(docs, id_col, text_col)
-    profile = stored(docs.mapInArrow(_profile(n, buckets), "doc_id long, n long, fa long, fb long, block int, counts binary"), "profile")
-    sized = profile.where("block is null").select("doc_id", "n", "fa", "fb")
+    profile = stored(docs.mapInArrow(_profile(n, buckets), "doc_id long, n long, fa long, fb long, hist array<int>, block int, counts binary"), "profile")
+    sized = profile.where("block is null").select("doc_id", "n", "fa", "fb", "hist")
     classes = sized.where("n > 0 and doc_id is not null").groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("doc_id"))
     levels = _levels(spark, profile, buckets)
 
@@ -181,10 +191,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = F.explode(F.array("prev", "first")).alias("o")
     few = entries.where("prev is not null").select("doc", "n", "p", near).selectExpr("o.doc x", "o.n nx", "o.p px", "doc y", "n ny", "p py")
     few = stored(few.where(_passes(num, den)).selectExpr("least(x, y) a", "greatest(x, y) b").distinct(), "pairs")
-    links = _verified(known, few, n, num, den)
+    links = _verified(known, sized, few, n, num, den)
     stars = components(links)
 
-    of = stars.selectExpr("node doc", "component")
+    of = _sided(stars.selectExpr("node doc", "component"))
     entries = entries.select("token", "doc", "n", "p").join(of, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     token = Window.partitionBy("token")
     entries = entries.withColumn("least", F.min("component").over(token)).withColumn("most", F.max("component").over(token)).where("least != most")
@@ -194,10 +204,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     y = entries.selectExpr("token", "doc y", "n ny", "p py", "component cy")
     rest = x.join(y, "token").where("cx != cy and (nx < ny or nx = ny and x < y)").where(_passes(num, den))
     rest = rest.selectExpr("least(x, y) a", "greatest(x, y) b").distinct().join(few, ["a", "b"], "left_anti")
-    more = _verified(known, stored(rest, "pairs"), n, num, den)
+    more = _verified(known, sized, stored(rest, "pairs"), n, num, den)
     whole = components(stars.selectExpr("node a", "component b").union(more))
 
     classes = classes.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("n", "fa", "fb", F.coalesce("component", "doc_id").alias("component_id"))
-    out = sized.join(classes, ["n", "fa", "fb"], "left")
+    out = sized.drop("hist").join(classes, ["n", "fa", "fb"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
