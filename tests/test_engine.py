@@ -149,20 +149,29 @@ def test_first_failure_of_version_1(spark, blobs):
 
 
 def test_first_failure_of_a_device(spark, blobs):
-    one = lambda case, **device: outcomes(spark, {"x": blobs[case]}, **device)[0]["x"]
-    assert one("plain1", flash_block=1000) == (L.PARAM, 15)
-    assert one("plain1", block_size=1000) == (L.PARAM, 15)
-    assert one("plain1", dst_addr=8) == (L.PARAM, 15)
-    assert one("plain1", journal_addr=1 << 20) == (0, 0)
-    assert one("plain1", journal_addr=1024, dst_addr=1024) == (L.PARAM, 1)
-    assert one("plain1", journal_addr=1000) == (L.PARAM, 15)
-    assert one("plain1", codec=L.RAW) == (L.UNSUPPORTED, 9)
-    assert one("plain2", lzma_max_dict=4096) == (L.TOO_LARGE, 14)
-    assert one("plain2", lzma_max_lc_plus_lp=2) == (L.FORMAT, 33)
-    assert one("plain1", ram_budget=2 * 1024 + 16) == (0, 0)
-    assert one("plain1", ram_budget=2 * 1024 + 15) == (L.TOO_LARGE, 14)
-    assert one("signed", provider=crypto.Provider()) == (L.BAD_SIGNATURE, 10)
-    assert one("plain1", old=None) == (L.PARAM, 1)
+    cases = [  # patch, device, verdict
+        ("plain1", {"flash_block": 1000}, (L.PARAM, 15)),
+        ("plain1", {"block_size": 1000}, (L.PARAM, 15)),
+        ("plain1", {"dst_addr": 8}, (L.PARAM, 15)),
+        ("plain1", {"journal_addr": 1 << 20}, (0, 0)),
+        ("plain1", {"journal_addr": 1024, "dst_addr": 1024}, (L.PARAM, 1)),
+        ("plain1", {"journal_addr": 1000}, (L.PARAM, 15)),
+        ("plain1", {"codec": L.RAW}, (L.UNSUPPORTED, 9)),
+        ("plain2", {"lzma_max_dict": 4096}, (L.TOO_LARGE, 14)),
+        ("plain2", {"lzma_max_lc_plus_lp": 2}, (L.FORMAT, 33)),
+        ("plain1", {"ram_budget": 2 * 1024 + 16}, (0, 0)),
+        ("plain1", {"ram_budget": 2 * 1024 + 15}, (L.TOO_LARGE, 14)),
+        ("signed", {}, (L.BAD_SIGNATURE, 10)),  # no public key to verify with
+        ("plain1", {"image_id": 2}, (L.PARAM, 1)),  # no base
+    ]
+    base = {"device_id": 0, "product_id": 7, "running_version": 1, "image_id": 1} | sessions.DEVICE_DEFAULTS
+    rows = [tuple((base | device | {"device_id": i}).values()) for i, (_, device, _) in enumerate(cases)]
+    devices = spark.createDataFrame(rows, ", ".join(f"{k} long" for k in base))
+    patches = spark.createDataFrame([(i, blobs[kind]) for i, (kind, _, _) in enumerate(cases)], "pair_id long, blob binary")
+    offers = devices.select("device_id", F.col("device_id").alias("pair_id"))
+    held = spark.createDataFrame([(1, OLD)], "image_id long, old binary")
+    got = {r.device_id: (r.status, r.site) for r in sessions.run_sessions(offers, devices, patches, held).collect()}
+    assert got == {i: verdict for i, (_, _, verdict) in enumerate(cases)}
 
 
 def test_first_failure_of_version_2(spark, blobs):
