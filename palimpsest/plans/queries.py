@@ -208,7 +208,7 @@ def checkpoint_table(spark, sf_dir):
 
 def device_candidates(spark, sf_dir):
     devices = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("device_id"), (F.col("c_custkey") % 5).alias("product_id"), (F.col("c_custkey") % 2 + 3).alias("running_version"))
-    patches = _headers(spark, sf_dir).where("o_orderkey <= 200").withColumnRenamed("o_orderkey", "pair_id")
+    patches = _headers(spark, sf_dir).withColumnRenamed("o_orderkey", "pair_id")
     return sessions.candidates(devices, patches)
 
 

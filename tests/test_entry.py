@@ -44,3 +44,12 @@ def test_entry_and_checksums(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_candidates_come_from_all_orders(spark, tmp_path):
+    orders, customers = [(k, 3 * k % 17) for k in (1, 199, 200, 201, 202, 500, 7499, 150_000, 600_000)], range(1, 31)
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(c,) for c in customers], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    wanted = sorted((c, o) for c in customers for o, b in orders if o % 5 == c % 5 and b % 2 == c % 2 and o % 11 > c % 2 + 3)
+    assert max(o for _, o in wanted) > 200
+    assert sorted(map(tuple, plans.device_candidates(spark, str(tmp_path)).collect())) == wanted
