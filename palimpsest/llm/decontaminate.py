@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import stored, texts
 
-#: 1: the token counts, 0: it is ignored.
-MASKS = ("110100111", "1110010101")
+#: 1: the token counts, 0: it is ignored. Complete for scores of 10: a stretch of equal (1) and differing (-1) tokens that sums to 10
+#: has a hit of one of them, however long it is. A test proves it over all states of the last seven tokens.
+MASKS = ("10110001", "11101", "1110001", "101101")
 #: Benchmark spans and tokens broadcast at a time; a larger benchmark takes several passes.
 BLOCK = 1_000_000
 #: Keys of texts with hits up to this number are broadcast; more are joined by a shuffle.
@@ -50,8 +51,9 @@ def spaced_seed_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id",
     Tokens are runs of letters and digits, lower-cased. Under a hit, equal tokens of the diagonal count 1 and
     differing ones -1; score is the best stretch's sum and doc_pos the token at which the diagonal meets the
     item's first token (negative if the document begins inside the item). A pair is returned if its score
-    reaches min_score, so ten equal tokens, or more with fewer than half as many changes, are a leak. Items
-    shorter than a mask (nine tokens) have no seeds and match nothing: so few words are no evidence. Null and
+    reaches min_score, so ten equal tokens, or more with ten fewer changes than equal ones, are a leak; none is
+    missed at a min_score of 10 or more, below that only those with a hit are found. Items under ten tokens
+    cannot reach 10 and match nothing. Null and
     blank texts match nothing, null ids are groups like any other, repeated rows give one row, an empty
     table on either side gives none.
     """

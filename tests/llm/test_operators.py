@@ -471,3 +471,51 @@ def test_registered_queries_have_their_sql(spark):
         assert columns == sorted(wanted.columns)
         at = [wanted.columns.index(c) for c in columns]
         assert sorted(repr([r[c] for c in columns]) for r in df.collect()) == sorted(repr([r[i] for i in at]) for r in wanted.fetchall()), name
+
+
+def all_leaks(docs, items, least=10):
+    """As plain_leaks, over every diagonal, hit by a mask or not."""
+    out = {}
+    for d, t in docs:
+        for i, u in items:
+            w, iw = t.split(), u.split()
+            for g in range(len(w) - 1, -len(iw), -1):
+                now = best = 0
+                for j in range(max(0, -g), min(len(iw), len(w) - g)):
+                    now = max(0, now + (1 if w[j + g] == iw[j] else -1))
+                    best = max(best, now)
+                if best >= least:
+                    out[d, i] = max(out.get((d, i), (0, -(10**9))), (best, -g))
+    return {(d, i, s, -g) for (d, i), (s, g) in out.items()}
+
+
+def test_no_leak_escapes_the_masks():
+    masks, width = [int(m, 2) for m in decontaminate.MASKS], max(map(len, decontaminate.MASKS)) - 1
+    best, before = {0: 0}, None  # last tokens, equal or not, after which no mask has had a hit: the highest score so far
+    while best != before and max(best.values()) < 10:
+        before, best = best, {0: 0}
+        for state, score in before.items():
+            for equal in (0, 1):
+                seen = state << 1 | equal
+                if not equal or not any(seen & m == m for m in masks):
+                    key = seen & ((1 << width) - 1)
+                    best[key] = max(best.get(key, -1), score + (1 if equal else -1), 0 if key == 0 else -1)
+    assert max(best.values()) < 10
+
+
+def test_decontamination_finds_scattered_changes(spark):
+    rng = random.Random(5)
+    items = [(n, prose(n, rng)) for n in (10, 20, 21, 30, 59, 60)]
+    docs = []
+    for i, (n, text) in enumerate(items):
+        for k, every in enumerate((2, 3, 4, 5)):  # every k-th word changed, from each offset
+            for start in range(every):
+                words = [f"x{j}" if j % every == start else w for j, w in enumerate(text.split())]
+                docs.append((1000 * i + 100 * k + start, prose(3, rng) + " " + " ".join(words) + " " + prose(3, rng)))
+        for r in range(30):  # as many changes as the rule allows, and one more
+            off = set(rng.sample(range(n), (n - 10) // 2 + r % 2))
+            docs.append((1000 * i + 500 + r, " ".join(f"y{j}" if j in off else w for j, w in enumerate(text.split()))))
+    wanted = all_leaks(docs, items)
+    assert {4200, 4100} <= {d for d, *_ in wanted}
+    got = {tuple(r) for r in decontaminate.spaced_seed_hits(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == wanted
