@@ -1,6 +1,6 @@
 """Queries over the driver's tables, each with equivalent SQL where SQL can say it.
 
-Texts of documents stand in for images; pairs of images are documents that begin alike (sources.base_pairs).
+Texts of documents stand in for images; pairs of images are each document and the one before it (sources.previous_pairs).
 Rows of orders and customer stand in for headers and devices.
 """
 
@@ -33,7 +33,7 @@ def test_provider() -> crypto.Provider:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = S.base_pairs(_table(spark, sf_dir, "documents"))
+    pairs = S.previous_pairs(_table(spark, sf_dir, "documents"))
     numbers = {"product_id": PRODUCT, "old_version": OLD_VERSION, "fw_version": NEW_VERSION}
     return pairs.select("pair_id", "base_id", "old", "new", *(F.lit(v).cast("long").alias(k) for k, v in numbers.items()))
 

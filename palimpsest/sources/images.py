@@ -52,6 +52,23 @@ def base_pairs(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return met.select("pair_id", "base_id", F.col("old_text").cast("binary").alias("old"), F.col("text").cast("binary").alias("new"))
 
 
+def previous_pairs(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int = 1024) -> DataFrame:
+    """(pair_id, base_id, old, new): every text against the one with the next smaller id, the first against the last.
+    Ids must be unique; rows with a null id or text are no images.
+
+    Ids alone are ordered, range by range of equal width; only the last id of each range meets in one task.
+    """
+    docs = rows.select(rows[id_col].cast("long").alias("pair_id"), rows[text_col].cast("string").cast("binary").alias("new")).where("pair_id is not null and new is not null")
+    span = docs.agg(F.min("pair_id").cast("double").alias("low"), F.max("pair_id").cast("double").alias("high"))
+    share = (F.col("pair_id").cast("double") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1.0))
+    ids = docs.select("pair_id").join(F.broadcast(span)).select("pair_id", F.floor(share * ranges).alias("range"))
+    ends = ids.groupBy("range").agg(F.max("pair_id").alias("end"))
+    before = ends.select("range", F.coalesce(F.lag("end").over(Window.orderBy("range")), F.max("end").over(Window.partitionBy())).alias("before"))
+    within = ids.select("range", "pair_id", F.lag("pair_id").over(Window.partitionBy("range").orderBy("pair_id")).alias("base_id"))
+    found = within.join(F.broadcast(before), "range").select("pair_id", F.coalesce("base_id", "before").alias("base_id"))
+    return docs.join(found, "pair_id").join(docs.select(F.col("pair_id").alias("base_id"), F.col("new").alias("old")), "base_id").select("pair_id", "base_id", "old", "new")
+
+
 def match_base(patches: DataFrame, images: DataFrame) -> DataFrame:
     """(pair_id, image_id) of patches and the base images they were built against, by size and checksum."""
     heads = L.held(patches.select("pair_id", "blob"), "h", L.header(F.col("blob"), 1)).selectExpr("pair_id", "h.old_size size", "h.old_crc32 crc32")

@@ -362,3 +362,14 @@ def test_publishing_is_idempotent(spark, tmp_path):
     for rows, n in ((first, 0), (second, 1), (second, 1)):
         publish(rows, n)
     assert sorted((r.device_id, r.session_id) for r in spark.read.parquet(ledger).collect()) == [(1, 5), (3, 6)]
+
+
+def test_every_text_has_a_previous_base(spark):
+    texts = {k: f"text {k}" for k in (-5, 3, 4, 90, 10**15, 10**15 + 1)} | {5: "", 91: "text 90"}
+    docs = spark.createDataFrame([*texts.items(), (6, None), (None, "x")], "doc_id long, text string")
+    order = sorted(texts)
+    wanted = [(k, order[i - 1], texts[order[i - 1]].encode(), texts[k].encode()) for i, k in enumerate(order)]
+    for ranges in (1, 3, 1024):
+        assert sorted((r[0], r[1], bytes(r[2]), bytes(r[3])) for r in images.previous_pairs(docs, ranges=ranges).collect()) == wanted
+    assert [tuple(r)[:2] for r in images.previous_pairs(docs.where("doc_id = 3")).collect()] == [(3, 3)]
+    assert images.previous_pairs(docs.where("false")).count() == 0
