@@ -24,8 +24,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGN = 6
 KINDS = ("assign", "access", "hex", "guess")
 
-#: A name that says credential, a delimiter, and the value in group 1.
-CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private)_?key|auth|cred(?:ential)?s?|login|pin)["'`]?[ \t]*(?:=>|[:=])[ \t]*["'`]?([^\s"'`,;<>]+)""", re.I | re.A)
+#: A name that says credential, a delimiter, and the value: in group 2 up to the quote that closes it on its line, else in group 3
+#: up to a blank, without a last comma or semicolon.
+CONTEXT = re.compile(
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private)_?key|auth|cred(?:ential)?s?|login|pin)["'`]?[ \t]*(?:=>|[:=])[ \t]*"""
+    r"""(?:(["'`])((?:\\[^\r\n]|(?!\1)[^\\\r\n])*)\1|["'`]?(\S*[^\s,;]|\S+))""",
+    re.I | re.A,
+)
 #: Values that take this many guesses (as a power of ten) or more are secrets.
 LEAST_GUESSES = 8.0
 
@@ -108,7 +113,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def costly_spans(text: str, least: float = LEAST_GUESSES) -> list[tuple[int, int, int]]:
     """Spans of the values in credential context that need 10 ** least guesses or more."""
-    return [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1]) >= least]
+    found = ((m, 2 if m[1] else 3) for m in CONTEXT.finditer(text))
+    return [(m.start(k), 3, m.end(k)) for m, k in found if guess_cost(m[k]) >= least]
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:

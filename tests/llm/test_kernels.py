@@ -212,3 +212,14 @@ def test_letters_and_markup():
     assert found == [(len("ab c d") - 2, [4])]
     assert visible("<p>a<script>b</p></script><!-- c --><style>d</style>&amp;e<br") == "  a    e<br" or "b" not in visible("<p>a<script>b</p></script>")
     assert visible(None) == ""
+
+
+def test_whole_values_are_scored():
+    cases = {
+        'db_pass = "x7,Kp;2q!Zr"': "x7,Kp;2q!Zr", "pwd=aB3;xY9,kL2<qz next": "aB3;xY9,kL2<qz", 'passphrase: "correct horse battery staple" on': "correct horse battery staple",
+        "token: 'it\\'s x7Kq2mZp' 'b'": "it\\'s x7Kq2mZp", 'secret="x7Kq 2mZpR9': None, 'secret="x7Kq2mZpR9 b': "x7Kq2mZpR9", "pwd=x7Kq2mZpR9, b": "x7Kq2mZpR9",
+        'password = ""': None, 'pin="1234" x': None, 'pwd="a\nx7Kq2mZpR9"': None,
+    }
+    for text, value in cases.items():
+        assert [text[i:j] for i, _, j in secrets.costly_spans(text)] == ([value] if value else []), text
+    assert len(secrets.costly_spans("pwd=\"x7Kq2mZpR9 " * 20_000)) > 0  # linear in the length
