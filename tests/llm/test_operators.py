@@ -3,6 +3,8 @@ tables and extra columns with clashing names."""
 
 import base64
 import hashlib
+import math
+import os
 import random
 import re
 import zlib
@@ -283,6 +285,49 @@ def test_neighbours(spark):
     assert {(r.query_id, r.vec_id) for r in few} == {(0, 5), (0, 7)}  # all candidates, hashed together or not
 
 
+def test_neighbours_of_hot_vectors_and_several_lengths(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(400)] + [(i, [float(v) for v in rng.standard_normal(3)]) for i in range(400, 600)] + [(i, [float(v) for v in 1e5 + 1e-3 * rng.standard_normal(4)]) for i in range(600, 900)]
+    rows += [(500, [9.0, 9.0, 9.0]), (700, rows[700][1])]
+    got = defaultdict(list)
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got[r.query_id].append((r["rank"], r.score, r.vec_id))
+    assert set(got) == set(range(0, 900, 100))
+    for q, mine in got.items():
+        own = min(v for i, v in rows if i == q)
+        near = {}
+        for i, v in rows:
+            if i != q and len(v) == len(own):
+                d = math.sqrt(sum((a - b) ** 2 for a, b in zip(v, own, strict=True)))
+                near[i] = min(d, near.get(i, d))
+        best = sorted((d, i) for i, d in near.items())[:10]
+        mine = sorted(mine)
+        assert [n for n, *_ in mine] == list(range(1, 11)) and all(abs(d - near[i]) < 1e-9 for _, d, i in mine)
+        if q < 400 or q >= 600:  # equal vectors, and offsets that squared norms would drown
+            assert [i for *_, i in mine] == [i for _, i in best]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the generated tables")
+def test_recall_on_the_table(spark):
+    """Recall against all distances with production parameters, and the share of rows that is measured."""
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect() if r.embedding]
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    held = neighbours.entries(neighbours._valid(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), "vec_id", "embedding"), 11)
+    index = neighbours.Index(x.shape[1], neighbours.scale_of(held), neighbours.TABLES, neighbours.HASHES, neighbours.PROBES)
+    with np.errstate(over="ignore"):
+        block = neighbours.Block(x, ids, np.arange(len(x) + 1), index)
+        right, share = [], []
+        for i in np.flatnonzero(ids % 100 == 0):
+            d = np.sqrt(((x - x[i]) ** 2).sum(1))
+            best = set(ids[np.lexsort((ids, d))][:11])
+            probes = [index.probes(x[i : i + 1], t)[0] for t in range(neighbours.TABLES)]
+            found, _ = block.best(x[i], probes, 11)
+            right.append(len(best & set(found)) / 11)
+            share.append(len(block.members(probes)) / len(x))
+    print(f"recall {np.mean(right):.3f}, measured share of the rows {np.mean(share):.3f}")
+    assert np.mean(right) >= 0.9 and np.mean(share) < 0.75
+
+
 def test_packing(spark):
     path = queries.tokenizer_path()
     rows = [(d, t) for d, t in ROWS if not t or len(t) < 5000] + ODD + [(900, ROWS[-25][1] or ""), (901, " ".join(VOCABULARY) * 4)]
