@@ -1,16 +1,20 @@
 """Hilbert-curve sharding: quantise metadata, sort by curve index, cut the order into runs.
 
-Each dimension is mapped to 2 ** bits cells of about equal counts by approximate quantiles over all rows,
-the cells to their index on the Hilbert curve, and the rows range-partitioned by (index, id), so that
-rows of one cell may lie in several partitions. The sorted table is written once; positions are the
-partitions' row numbers plus the counts of the partitions before.
+A value's cell is the share of all rows that lie before it, in 2 ** bits steps, so that few values spread over
+the whole axis as many do: every dimension gets its part of the curve's leading bits and readers can skip shards
+by any of them. Numbers are cut by approximate quantiles over all rows; texts by exact ones over whole values,
+from their grouped counts, summed along a range-partitioned order. Rows are range-partitioned by (curve, text
+checksum, size, id), so that rows of one cell may lie in several partitions. The sorted table is written once;
+positions are the partitions' row numbers plus the counts of the partitions before.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, stored
@@ -43,27 +47,53 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _number(df: DataFrame, column: str) -> Column:
-    """An order-preserving double: numbers as they are, texts by their first six bytes; null for null."""
-    if dict(df.dtypes)[column] == "string":
-        head = F.rpad(F.hex(F.substring(df[column].cast("binary"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return df[column].cast("double")
+def _is_text(df: DataFrame, column: str) -> bool:
+    return dict(df.dtypes)[column] == "string"
+
+
+def _value(df: DataFrame, column: str) -> Column:
+    """What a dimension is quantised by: texts as they are, anything else as a double."""
+    return df[column] if _is_text(df, column) else df[column].cast("double")
+
+
+def _text_bounds(values: DataFrame, column: str, steps: int) -> list[str]:
+    """The values at the ranks k / steps of all rows, k from 1 to steps - 1: at most so many texts, whatever the input."""
+    counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    ordered = stored(counts.repartitionByRange("value").sortWithinPartitions("value").withColumn("part", F.spark_partition_id()), "values")
+    sums = ordered.groupBy("part").agg(F.sum("n").alias("n"))  # a row a partition
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    within = Window.partitionBy("part").orderBy("value")
+    ranked = ordered.join(F.broadcast(base), "part").withColumn("end", F.col("base") + F.sum("n").over(within))
+    first, last = ((F.floor(c * steps / F.col("total"))).cast("int") for c in (F.col("end") - F.col("n"), F.col("end")))
+    found = ranked.where(first < last).select("value", F.explode(F.sequence(first + 1, last)).alias("k"))
+    return [r.value for r in found.where(F.col("k") < steps).orderBy("k").collect()]
 
 
 def with_curve(df: DataFrame, dimensions: list[str], bits: int = BITS, name: str = "curve") -> DataFrame:
     """df with its rows' index on the curve through the named dimensions. Nulls and NaNs share the first cell."""
-    values = df.select(*(_number(df, c).alias(f"_{i}") for i, c in enumerate(dimensions)))
-    parts = [k / (1 << bits) for k in range(1, 1 << bits)]
-    some = values.agg(*(F.percentile_approx(F.when(~F.isnan(c), F.col(c)), parts, 20_000).alias(c) for c in values.columns)).first()
-    bounds = [np.unique(np.array(b if b is not None else [], float)) for b in some]
+    values = df.select(*(_value(df, c).alias(f"_{i}") for i, c in enumerate(dimensions)))
+    texts = [_is_text(df, c) for c in dimensions]
+    steps = 1 << bits
+    parts = [k / steps for k in range(1, steps)]
+    numbers = [F.percentile_approx(F.when(~F.isnan(c), F.col(c)), parts, 20_000).alias(c) for c, text in zip(values.columns, texts, strict=True) if not text]
+    some = values.agg(*numbers).first().asDict() if numbers else {}
+    # a bound that is repeated moves the values after it on: cells are ranks, not numbers of values
+    bounds = [_text_bounds(values, c, steps) if text else np.array(some[c] or [], float) for c, text in zip(values.columns, texts, strict=True)]
+
+    def cells(column: pd.Series, edges) -> np.ndarray:
+        if isinstance(edges, list):
+            codes, known = pd.factorize(column)
+            of = np.array([bisect_left(edges, x) for x in known] + [0], np.int64)  # code -1, null, is the last
+            return of[codes]
+        v = column.to_numpy(float, na_value=np.nan)
+        return np.where(np.isnan(v), 0, np.searchsorted(edges, v, "left"))
 
     @F.pandas_udf("long")
     def curve(*columns: pd.Series) -> pd.Series:
-        cells = [np.where(np.isnan(v := c.to_numpy(float, na_value=np.nan)), 0, np.searchsorted(b, v, "left")) for c, b in zip(columns, bounds, strict=True)]
-        return pd.Series(hilbert_index(np.stack(cells, axis=1), bits))
+        return pd.Series(hilbert_index(np.stack([cells(c, e) for c, e in zip(columns, bounds, strict=True)], axis=1), bits))
 
-    return df.withColumn(name, curve(*(_number(df, c) for c in dimensions)))
+    return df.withColumn(name, curve(*(_value(df, c) for c in dimensions)))
 
 
 def positions(df: DataFrame, order: list[str], tag: str = "sorted") -> tuple[DataFrame, int]:
@@ -96,15 +126,17 @@ def hilbert_shards(docs: DataFrame, dimensions: tuple[str, ...] = ("lang", "sour
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, curve), a row a row of docs.
 
     size is the text's UTF-8 bytes plus 1 (null: 1), text_crc32 its unsigned CRC-32 (null: of no bytes). The
-    order is (curve, doc_id, crc, size), nulls first; shards are runs of it under the law `rows`, so counts
+    order is (curve, crc, size, doc_id), nulls first; shards are runs of it under the law `rows`, so counts
     differ by one at most and the first shards have the extra rows. slot counts from 0 within a shard.
+    Equal texts with equal metadata are neighbours in the order; a run may still end between them, since the law
+    of equal counts leaves no group of a third of all rows whole, and copies with other metadata lie elsewhere.
     Nulls of a dimension share its first cell; equal values share a cell, so a dimension with one value
     has one cell. An empty table gives no rows.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *(docs[c].alias(f"dim{i}") for i, c in enumerate(dimensions)))
     rows = with_curve(rows, [f"dim{i}" for i in range(len(dimensions))], bits)
-    placed, total = positions(rows, ["curve", "doc_id", "text_crc32", "size"])
+    placed, total = positions(rows, ["curve", "text_crc32", "size", "doc_id"])
     shard, slot = cut(F.col("position"), total, shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.alias("shard"), slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
 

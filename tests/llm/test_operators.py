@@ -250,7 +250,7 @@ def test_hilbert_shards(spark):
     for s in range(8):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(counts[s]))
     assert sorted((r.doc_id or -1, r.size, r.text_crc32) for r in got) == sorted((d or -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, *_ in rows)
-    order = [(r.curve, r.doc_id is not None, r.doc_id or 0) for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    order = [(r.curve, r.text_crc32, r.size, r.doc_id is not None, r.doc_id or 0) for r in sorted(got, key=lambda r: (r.shard, r.slot))]
     assert order == sorted(order)
     few = hilbert.hilbert_shards(docs.limit(3)).collect()
     assert sorted((r.shard, r.slot) for r in few) == [(0, 0), (1, 0), (2, 0)]
@@ -259,6 +259,23 @@ def test_hilbert_shards(spark):
     assert spark.read.parquet(path).count() == len(rows)
 
 
+def test_every_dimension_prunes_shards(spark):
+    """Few values spread over their whole axis, and texts that begin alike are told apart."""
+    rng = random.Random(3)
+    rows = [(i, "x" * rng.randrange(5000), rng.choice(["en", "de", "fr", "zh-Hans", "zh-Hant"]), f"https://www.example.org/source/{rng.randrange(20):02d}") for i in range(4000)]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    of = {r.doc_id: r.shard for r in hilbert.hilbert_shards(docs).select("doc_id", "shard").collect()}
+    for column, most in ((2, 5), (3, 5)):
+        shards = defaultdict(set)
+        for r in rows:
+            shards[r[column]].add(of[r[0]])
+        print({k: sorted(v) for k, v in shards.items()})
+        assert sum(map(len, shards.values())) / len(shards) <= most
+    cells = hilbert.with_curve(docs, ["source"], 5).select("source", "curve").distinct().collect()
+    assert len({r.curve for r in cells}) == len(cells) == 20
+    assert [r.source for r in sorted(cells, key=lambda r: r.curve)] == sorted({r[3] for r in rows})
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((20, 16))
