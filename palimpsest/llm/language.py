@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, stored
 from .shingles import column
 
-#: Labelled rows a language that the text model is fitted on: those whose ids have the least hashes.
+#: Labelled rows a language that the text model is fitted on, and as many to tell what is strange to it: by turns of
+#: those whose ids have the least hashes.
 SAMPLE = 500
 CELLS = 1 << 16
 ALPHA = 0.02
@@ -29,14 +30,15 @@ WEIGHT = 40.0
 #: Strength, in rows, with which a level of the host hierarchy is drawn to the next one.
 PULL = 4.0
 UNKNOWN = "und"
-#: By how much a trigram, as a natural logarithm, text must be likelier in no language to count as such.
-STRANGE = 4.0
+#: Text counts as no language's if it is likelier in none by so much a trigram, as a natural logarithm: MARGIN more than
+#: any labelled row that the model has not seen, STRANGE at most and without such rows.
+STRANGE, MARGIN = 4.0, 0.5
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 _SPACE = 32
-_MARKUP = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>|&#?\w+;")
+_MARKUP = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^<>]*>|&#?\w+;")
 CHUNK = 1 << 20
 
 
@@ -75,32 +77,61 @@ def _counts(batches):
             for r in np.unique(row):
                 have = total.setdefault(langs[r], np.zeros(CELLS, np.int64))
                 have += np.bincount(code[row == r], minlength=CELLS)
-    yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())], names=["label", "counts"])
-
-
-def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities [cell, language]) from at most `sample` rows a language. The last column
-    is the model of text in no language: any trigram as likely as any other that the languages use."""
+    for lang, have in total.items():
+        cells = np.flatnonzero(have)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells), pa.string()), pa.array(cells.astype(np.int32)), pa.array(have[cells])], names=["label", "cell", "n"])
+
+
+def _least_hashed(rows: DataFrame, most: int) -> DataFrame:
+    """(id, label, k): the `most` different ids of each label with the least hashes, by their rank k from 1. Only ids
+    under a bound on the hash, from the label's count, are ranked: about `most` a label, however many rows it has."""
+    share = (F.xxhash64("id").cast("double") / 2.0**63 + 1) / 2
+    counts = rows.groupBy("label").agg(F.count("*").alias("rows"))
+    bound = most + 8 * most**0.5 + 32
+    while True:
+        some = rows.join(counts, "label").where((share * F.col("rows") <= bound)).select("id", "label").distinct()
+        some = stored(some, "sample")
+        few = some.groupBy("label").agg(F.count("*").alias("ids")).join(counts, "label", "right").where((F.coalesce("ids", F.lit(0)) < most) & (F.col("rows") > bound))
+        if not few.limit(1).count():  # else ids repeat, and their rows do not tell how many there are
+            return some.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))).where(F.col("k") <= most)
+        bound *= 8
+
+
+def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, float]:
+    """(languages, log probabilities [cell, language], strangeness) from at most `sample` rows a language, and as many
+    more that the model does not see for the strangeness. The last column is the model of text in no language: any
+    trigram as likely as any other that the languages use. Of rows that repeat an id and label one counts."""
     rows = labelled.select(labelled[id_col].cast("long").alias("id"), labelled[text_col].cast("string").alias("text"), labelled[label_col].cast("string").alias("label")).where("label is not null and text is not null")
-    ranked = rows.select("id", "label").withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))).where(F.col("k") <= sample)
-    ranked = rows.join(F.broadcast(ranked.select("id", "label").distinct()), ["id", "label"], "left_semi")  # `sample` ids a language
-    parts = ranked.select("text", "label").mapInArrow(_counts, "label string, counts binary")
-    total: dict[str, np.ndarray] = {}
-    for row in parts.toLocalIterator():
-        total[row.label] = total.get(row.label, np.zeros(CELLS, np.int64)) + np.frombuffer(row.counts, "<i8")
-    langs = sorted(total)
+    chosen = F.broadcast(_least_hashed(rows.select("id", "label"), 2 * sample))  # 2 * `sample` ids a language
+    same = rows.id.eqNullSafe(chosen.id) & (rows.label == chosen.label)
+    texts = rows.join(chosen, same).groupBy(rows.label, "k").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x")).select("label", "k", F.col("x.text").alias("text"))
+    texts = stored(texts, "texts")
+    seen = texts.where("k % 2 = 1").select("text", "label").mapInArrow(_counts, "label string, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
+    found = seen.toArrow()  # at most CELLS rows a language
+    langs = sorted(set(found.column("label").to_pylist()))
     if not langs:
-        return [], np.zeros((CELLS, 1))
-    seen = np.stack([total[k] for k in langs], axis=1).astype(float)
-    logs = np.log((seen + ALPHA) / (seen.sum(0) + ALPHA * CELLS))
-    used = max(1, int((seen.sum(1) > 0).sum()))
-    flat = np.full((CELLS, 1), -np.log(used))
-    return langs, np.concatenate([logs, flat], axis=1)
+        return [], np.zeros((CELLS, 1)), STRANGE
+    total = np.zeros((CELLS, len(langs)))
+    at = {k: i for i, k in enumerate(langs)}
+    total[found.column("cell").to_numpy(), [at[k] for k in found.column("label").to_pylist()]] = found.column("n").to_numpy()
+    logs = np.log((total + ALPHA) / (total.sum(0) + ALPHA * CELLS))
+    used = max(1, int((total.sum(1) > 0).sum()))
+    logs = np.concatenate([logs, np.full((CELLS, 1), -np.log(used))], axis=1)
+    shared = labelled.sparkSession.sparkContext.broadcast((langs, logs, STRANGE))
+    new = texts.where("k % 2 = 0").select("text").mapInArrow(_scores(shared, False), "letters long, trigrams long, text_logs array<double>")
+    gaps = new.where("trigrams > 0").select(_gap(len(langs)).alias("gap")).agg(F.max("gap")).first()[0]
+    return langs, logs, STRANGE if gaps is None else min(STRANGE, max(0.0, gaps) + MARGIN)
+
+
+def _gap(k: int) -> Column:
+    """By how much a trigram no language explains a row of text_logs better than any of k languages; null without trigrams."""
+    best = F.array_max(F.slice("text_logs", 1, k))
+    return F.try_divide(F.col("text_logs")[k] - best, F.least(F.col("trigrams").cast("double"), F.lit(WEIGHT)))
 
 
 def _scores(model, strip: bool):
     def run(batches):
-        langs, logs = model.value
+        langs, logs, _ = model.value
         for batch in batches:
             if strip:
                 text = pa.array([visible(x) for x in batch.column("text").to_pylist()], pa.string())
@@ -140,11 +171,11 @@ def _posterior(logs: list[Column]) -> list[Column]:
     return [w / total for w in weights]
 
 
-def fuse(scored: DataFrame, langs: list[str]) -> DataFrame:
+def fuse(scored: DataFrame, langs: list[str], strange: float = STRANGE) -> DataFrame:
     """scored (declared, host, domain, suffix, letters, text_logs, ...) with lang, posterior, text_lang.
 
     A row is in the language with the greatest posterior. It is UNKNOWN if its text holds no letter, or if the
-    model of no language explains it better than any language by STRANGE a trigram: most of its trigrams are
+    model of no language explains it better than any language by `strange` a trigram: most of its trigrams are
     then ones that no language has. Evidence that a row lacks (null, or no trigram) adds nothing.
     """
     k = len(langs)
@@ -173,22 +204,22 @@ def fuse(scored: DataFrame, langs: list[str]) -> DataFrame:
     out = out.withColumns({f"p{i}": p for i, p in enumerate(final)})
     best = F.array_max(F.array(*(F.struct(F.col(f"l{i}").alias("l"), F.lit(-i).alias("i"), F.lit(name).alias("lang"), F.col(f"p{i}").alias("p")) for i, name in enumerate(langs))))
     text_best = F.array_max(F.array(*(F.struct(F.col("text_logs")[i].alias("l"), F.lit(-i).alias("i"), F.lit(name).alias("lang")) for i, name in enumerate(langs))))
-    none = (F.col("letters") == 0) | (F.col("text_logs")[k] - text_best["l"] > STRANGE * F.least(F.col("trigrams"), F.lit(WEIGHT)))
+    none = (F.col("letters") == 0) | F.coalesce(_gap(k) > strange, F.lit(False))
     lost = F.lit(UNKNOWN)
     return out.select(*scored.columns, F.when(none, lost).otherwise(best["lang"]).alias("lang"), F.when(none, F.lit(0.0)).otherwise(F.round(best["p"], 6)).alias("posterior"), F.when(none, lost).otherwise(text_best["lang"]).alias("text_lang"))
 
 
-def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], strip: bool) -> DataFrame:
+def identify(rows: DataFrame, model: tuple[list[str], np.ndarray, float], strip: bool) -> DataFrame:
     """rows (id, text, declared, host, domain, suffix) -> (id, declared, host, domain, suffix, letters, trigrams,
     lang, posterior, text_lang), a row a row. strip: whether the text is markup. With no languages all are UNKNOWN;
     texts without a letter, null ones too, are UNKNOWN; null ids and repeated rows come back as they are."""
-    langs, _ = model
+    langs, _, strange = model
     shared = rows.sparkSession.sparkContext.broadcast(model)
     kinds = "id long, declared string, host string, domain string, suffix string, letters long, trigrams long, text_logs array<double>"
     scored = rows.select("id", F.coalesce("text", F.lit("")).alias("text"), "declared", "host", "domain", "suffix").mapInArrow(_scores(shared, strip), kinds)
     if not langs:
         return scored.select(*scored.columns[:-1], F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("posterior"), F.lit(UNKNOWN).alias("text_lang"))
-    return fuse(stored(scored, "scores"), langs).drop("text_logs")
+    return fuse(stored(scored, "scores"), langs, strange).drop("text_logs")
 
 
 def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:

@@ -475,6 +475,108 @@ def test_language_identification(spark):
     assert sum(r.lang == docs[r.doc_id][2] for r in held) == len(docs)
 
 
+def plain_language(pages, labelled, strange):
+    """Scores and fusion in plain Python: page_id -> (lang, posterior), with every labelled row as the model's sample."""
+
+    def cells(text):
+        b, out = text.encode(), []
+        letter = [chr(c).isalpha() if c < 128 else True for c in b]
+        for i, c in enumerate(b):
+            if letter[i]:
+                out.append(ord(chr(c).lower()) if c < 128 else c)
+            elif i and letter[i - 1]:
+                out.append(32)
+        return [((x << 16 | y << 8 | z) * 2654435761 % 2**32) >> 16 for x, y, z in zip(out, out[1:], out[2:], strict=False)], sum(letter)
+
+    langs, seen = sorted({k for *_, k in labelled}), defaultdict(lambda: defaultdict(int))
+    for _, t, k in labelled:
+        for c in cells(t)[0]:
+            seen[k][c] += 1
+    size = {k: sum(seen[k].values()) for k in langs}
+    flat = -math.log(len({c for k in langs for c in seen[k]}))
+    rows = []
+    for p, url, html in pages:
+        code, letters = cells(language.visible(html))
+        n = len(code)
+        logs = [sum(math.log((seen[k][c] + 0.02) / (size[k] + 0.02 * 65536)) for c in code) for k in langs] + [flat * n]
+        logs = [x * min(1.0, 40 / max(n, 1)) for x in logs]
+        logs = [round(x - max(logs), 6) for x in logs]
+        soft = [math.exp(x) for x in logs[:-1]]
+        said = re.search(r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]{2,3})", html or "")
+        host = (re.search("://([^/?#:]*)", url or "") or [None, ""])[1].lower() or None
+        levels = {"declared": said and said[1].lower(), "host": host, "domain": host and ".".join(host.split(".")[-2:]), "suffix": host and host.split(".")[-1]}
+        rows.append((p, n, letters, logs, [x / sum(soft) if n else 0.0 for x in soft], levels))
+    out = {}
+    for p, n, letters, logs, soft, levels in rows:
+        total = []
+        for i in range(len(langs)):
+
+            def others(level, i=i, p=p, levels=levels):
+                some = [r for r in rows if r[0] != p and (level is None or levels[level] is not None and r[5][level] == levels[level])]
+                return sum(r[4][i] for r in some), sum(r[1] > 0 for r in some)
+
+            mass, many = others(None)
+            share = corpus = (mass + 1) / (many + len(langs))
+            for level in ("suffix", "domain", "host"):
+                mass, many = others(level)
+                share = (mass + 4 * share) / (many + 4)
+            mass, many = others("declared")
+            said = (mass + 4 * corpus) / (many + 4)
+            total.append(logs[i] + math.log(share) + (math.log(said) - math.log(corpus) if levels["declared"] else 0))
+        weights = [math.exp(x - max(total)) for x in total]
+        none = not letters or n and (logs[-1] - max(logs[:-1])) / min(n, 40) > strange
+        out[p] = ("und", 0.0) if none else (langs[max(range(len(langs)), key=lambda i: (total[i], -i))], max(weights) / sum(weights))
+    return out
+
+
+def test_language_scores_and_fusion_agree_with_plain_python(spark, monkeypatch):
+    rng = random.Random(12)
+    labelled = [(i, text_in(k, 30, rng), k) for i, k in enumerate(["en", "de", "fr"] * 40)]
+    pages = [(i, f"http://{rng.choice(['a', 'B', 'c.d'])}.x{i % 2}.{rng.choice(['com', 'de', 'fr'])}/{i}", f'<html lang="{rng.choice(["en", "de", "fr", "xx"])}">{text_in(rng.choice(["en", "de", "fr"]), rng.choice([1, 2, 30]), rng)}</html>') for i in range(80)]
+    pages += [(90, None, "é"), (91, "http://a.x0.com", ""), (92, "no host", "<p>nicht die</p>"), (93, "http://q.de/", "zzxqj kkvwq " * 20), (94, "", None)]
+    for n, (k, host) in enumerate([("de", "gut"), ("en", "good"), ("fr", "bon")]):  # hosts of one language, with texts that say little
+        pages += [(200 + 40 * n + i, f"http://{host}.org/", text_in(k, 20, rng)) for i in range(20)]
+        pages += [(220 + 40 * n + i, f"http://{host}.org/", w) for i, w in enumerate(["e", "s", "er", "en", "es", "d", "st", "t", "n e", "a"])]
+    # every labelled row is in the model's half: the other half has none
+    ranked = language._least_hashed
+    monkeypatch.setattr(language, "_least_hashed", lambda rows, most: ranked(rows, most).withColumn("k", F.col("k") * 2 - 1))
+    got = language.identify_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(labelled, "doc_id long, text string, lang string")).collect()
+    wanted = plain_language(pages, labelled, language.STRANGE)
+    assert {r.page_id: r.lang for r in got} == {p: lang for p, (lang, _) in wanted.items()}
+    assert all(abs(r.posterior - wanted[r.page_id][1]) < 1e-4 for r in got)
+    assert any(r.lang != r.text_lang for r in got)  # fusion has decided some
+
+
+def test_text_in_no_language_goes(spark):
+    """What the model has not seen sets the bound: other languages and junk lie beyond it, clean rows within."""
+    rng = random.Random(13)
+    labelled = [(i, text_in(k, 60, rng), k, "s", 1) for i, k in enumerate(["en", "de", "fr"] * 200)]
+    strange = [(900, "qzx wvk jjx pqv xzk vvq " * 10, "en", "s", 1), (901, "0f3a9c d4e8b2 77aa01 " * 30, "de", "s", 1)]
+    df = spark.createDataFrame(labelled + strange[:1] * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    langs, _, bound = language.fit(df.where("doc_id < 900"), "doc_id", "text", "lang")
+    assert langs == ["de", "en", "fr"] and 0 < bound < language.STRANGE
+    model = language.fit(df.where("doc_id < 900"), "doc_id", "text", "lang")
+    rows = spark.createDataFrame(labelled + strange, df.schema).selectExpr("doc_id id", "text", "lang declared", "source host", "cast(null as string) domain", "cast(null as string) suffix")
+    got = {r.id: r.lang for r in language.identify(rows, model, strip=False).collect()}
+    assert got[900] == language.UNKNOWN and sum(got[r[0]] == r[2] for r in labelled) == len(labelled)
+
+
+def test_the_sample_of_hot_and_repeated_ids(spark):
+    rows = [(i, "en") for i in range(3000)] + [(7, "en")] * 2000 + [(i, "de") for i in range(30)] + [(1, "fr")] * 500 + [(None, "fr")]
+    got = language._least_hashed(spark.createDataFrame(rows, "id long, label string"), 40).collect()
+    assert sorted(r.k for r in got if r.label == "en") == list(range(1, 41)) and sum(r.label == "de" for r in got) == 30
+    assert {r.id for r in got if r.label == "fr"} == {1, None}
+
+
+def test_markup_takes_linear_time():
+    import time
+
+    for text in ("<" * 1_000_000, "<!-- " * 200_000, "&" * 1_000_000, "<script " * 100_000, "a<b " * 250_000):
+        began = time.process_time()
+        language.visible(text)
+        assert time.process_time() - began < 1, text[:10]
+
+
 def test_evidence_decides_short_texts(spark):
     """A text that says little goes with its host; one that is clear does not."""
     rng = random.Random(9)
