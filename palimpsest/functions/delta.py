@@ -46,6 +46,11 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(data, GRAM).copy().view("<u8").ravel() if len(data) >= GRAM else np.empty(0, "<u8")
 
 
+def first_grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The different grams of data, ascending as integers, and the first place of each."""
+    return np.unique(_grams(np.frombuffer(data, np.uint8)), return_index=True)
+
+
 def _agreement(new: np.ndarray, i: int, old: np.ndarray, j: int) -> int:
     """How many bytes from new[i] and old[j] agree."""
     most, done, step = min(len(new) - i, len(old) - j), 0, 64
@@ -62,7 +67,7 @@ def matches(old: bytes, new: bytes) -> list[tuple[int, int, int]]:
     """(start in new, length, start in old) of the greedy runs: at each place the first base position with the
     same 8 bytes is tried, and a run of 16 bytes or more is taken and skipped."""
     base, target = np.frombuffer(old, np.uint8), np.frombuffer(new, np.uint8)
-    keys, first = np.unique(_grams(base), return_index=True)
+    keys, first = first_grams(old)
     grams = _grams(target)
     if not len(keys) or not len(grams):
         return []

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,19 +18,24 @@ from ..functions import delta as D
 BLOCK = 4096
 
 
-def rowwise(fn: Callable[[dict], Iterator[dict] | list[dict]], schema: pa.Schema, most: int = 64):
-    """A mapInArrow kernel from a function of a row to rows; few rows a batch, as blobs are wide."""
+def rowwise(fn: Callable[[dict], Iterator[dict] | list[dict]], schema: pa.Schema, most: int = 4096, most_bytes: int = 16 << 20):
+    """A mapInArrow kernel from a function of a row to rows. Input rows are taken one at a time; output batches end at
+    `most` rows or `most_bytes` of blobs, whichever comes first."""
+    wide = [f.name for f in schema if f.type in (pa.binary(), pa.string())]
 
     def run(batches):
+        rows, held = [], 0
         for batch in batches:
-            rows = []
+            names, columns = batch.schema.names, batch.columns
             for i in range(len(batch)):
-                rows += fn({name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)})
-                if len(rows) >= most:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                for out in fn({name: c[i].as_py() for name, c in zip(names, columns, strict=True)}):
+                    rows.append(out)
+                    held += sum(len(out.get(w) or b"") for w in wide)
+                    if len(rows) >= most or held >= most_bytes:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
@@ -120,9 +126,22 @@ def apply_kernel(rows: DataFrame) -> DataFrame:
     return mapped(rows.select("pair_id", "old", "delta", "new_size"), one, ["pair_id"], "image binary, status int, site int")
 
 
-def gram_index(images: DataFrame, id_col: str, bytes_col: str, size: int = D.GRAM) -> DataFrame:
-    """(id_col, gram, first_pos): the first place of every gram of an image, as the encoder looks it up."""
-    data = F.col(bytes_col)
-    places = images.where(F.octet_length(data) >= size).select(id_col, data.alias("_data"), F.explode(F.sequence(F.lit(0), F.octet_length(data) - size)).alias("pos"))
-    grams = places.select(id_col, F.hex(F.substring("_data", F.col("pos") + 1, F.lit(size))).alias("gram"), "pos")
-    return grams.groupBy(id_col, "gram").agg(F.min("pos").cast("long").alias("first_pos"))
+def gram_index(images: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
+    """(id_col, gram, first_pos): the first place of every gram of an image, as the encoder looks it up: the gram's bytes
+    in hex. A kernel a row; nothing is shuffled."""
+    kind = dict(images.dtypes)[id_col]
+    schema = pa.schema([(id_col, _KINDS[kind]), ("gram", pa.string()), ("first_pos", pa.int64())])
+    digits = np.frombuffer("".join(f"{b:02X}" for b in range(256)).encode(), "S2")
+
+    def run(batches):
+        for batch in batches:
+            ids, blobs = batch.columns
+            for i in range(len(batch)):
+                keys, first = D.first_grams(blobs[i].as_py() or b"")
+                for lo in range(0, len(keys), 1 << 18):
+                    part = keys[lo : lo + (1 << 18)]
+                    text = digits[part.astype("<u8").view(np.uint8)].tobytes()
+                    grams = pa.StringArray.from_buffers(len(part), pa.py_buffer(np.arange(len(part) + 1, dtype=np.int32) * 2 * D.GRAM), pa.py_buffer(text))
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * len(part), schema[0].type), grams, pa.array(first[lo : lo + (1 << 18)].astype(np.int64))], schema=schema)
+
+    return images.select(id_col, bytes_col).mapInArrow(run, f"`{id_col}` {kind}, gram string, first_pos bigint")

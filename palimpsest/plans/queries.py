@@ -17,6 +17,7 @@ from ..functions import sizing as Z
 from ..operators import container, delta, sessions
 from ..operators.validate import first_failure, header_1
 from ..sources import images as S
+from ..sources.staging import spread, stored
 
 PRODUCT, OLD_VERSION, NEW_VERSION = 0x1234, 1, 2
 KEY_ID = bytes(range(16))
@@ -38,6 +39,11 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("pair_id", "base_id", "old", "new", *(F.lit(v).cast("long").alias(k) for k, v in numbers.items()))
 
 
+def _held_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs, dealt evenly and written once: queries read them as patches to make, devices, offers and images."""
+    return stored(spread(_pairs(spark, sf_dir), "pair_id"), "pairs")
+
+
 def image_inventory(spark, sf_dir):
     return S.inventory(S.text_images(_table(spark, sf_dir, "documents"), "doc_id", "text")).drop("crc32")
 
@@ -51,28 +57,25 @@ def base_pairs(spark, sf_dir):
 
 
 def gram_index(spark, sf_dir):
-    bases = _pairs(spark, sf_dir).select("base_id", "old").distinct()
-    return delta.gram_index(bases, "base_id", "old")
-
-
-def _pair_deltas(spark, sf_dir):
-    return delta.encode_pairs(_pairs(spark, sf_dir))
+    bases = S.text_images(_table(spark, sf_dir, "documents"), "doc_id", "text").where("image_id is not null")
+    return delta.gram_index(bases.select(F.col("image_id").alias("base_id"), "bytes"), "base_id", "bytes")
 
 
 def delta_kernel(spark, sf_dir):
     """Encode, parse and apply; delta_size must be new_size + 24 bytes a triple."""
-    deltas = _pair_deltas(spark, sf_dir)
+    pairs = _held_pairs(spark, sf_dir)
+    deltas = stored(delta.encode_pairs(pairs), "deltas")
     counts = delta.parse_triples(deltas).groupBy("pair_id").agg(F.count("n").alias("triples"), F.max("site").alias("site"))
-    rebuilt = delta.apply_kernel(deltas.join(_pairs(spark, sf_dir).select("pair_id", "old"), "pair_id"))
-    out = deltas.join(counts, "pair_id").join(rebuilt.select("pair_id", "image"), "pair_id")
-    exact = F.octet_length("delta") == F.col("new_size") + 24 * F.col("triples")
-    return out.select("pair_id", "new_size", F.md5("image").alias("image_md5"), (exact & (F.col("site") == 0)).alias("exact"))
+    rebuilt = delta.apply_kernel(deltas.join(pairs.select("pair_id", "old"), "pair_id"))
+    out = deltas.select("pair_id", "new_size", F.octet_length("delta").alias("delta_size")).join(counts, "pair_id").join(rebuilt.select("pair_id", F.md5("image").alias("image_md5")), "pair_id")
+    exact = F.col("delta_size") == F.col("new_size") + 24 * F.col("triples")
+    return out.select("pair_id", "new_size", "image_md5", (exact & (F.col("site") == 0)).alias("exact"))
 
 
 def delta_relational(spark, sf_dir):
     """The same images by joins of triples and base blocks."""
-    pairs = _pairs(spark, sf_dir)
-    triples = delta.cursors(delta.parse_triples(delta.encode_pairs(pairs)))
+    pairs = _held_pairs(spark, sf_dir)
+    triples = stored(delta.cursors(delta.parse_triples(delta.encode_pairs(pairs))), "triples")
     image = delta.apply_relational(triples, delta.blocks(pairs, "pair_id", "old"))
     return image.select("pair_id", F.octet_length("image").cast("long").alias("new_size"), F.md5("image").alias("image_md5"))
 
@@ -83,9 +86,8 @@ def triple_cursors(spark, sf_dir):
     return delta.cursors(triples)
 
 
-def _outcomes(spark, sf_dir, patches: DataFrame, provider: crypto.Provider | None = None, second: bool = False) -> DataFrame:
+def _outcomes(pairs: DataFrame, patches: DataFrame, provider: crypto.Provider | None = None, second: bool = False) -> DataFrame:
     """One device a pair, with the pair's base as its image."""
-    pairs = _pairs(spark, sf_dir)
     devices = pairs.select(F.col("pair_id").alias("device_id"), "product_id", F.col("old_version").alias("running_version"), F.col("pair_id").alias("image_id"))
     offers = pairs.select(F.col("pair_id").alias("device_id"), "pair_id")
     old = pairs.select(F.col("pair_id").alias("image_id"), "old")
@@ -96,46 +98,47 @@ def _outcomes(spark, sf_dir, patches: DataFrame, provider: crypto.Provider | Non
 
 def _round_trip(codec: int):
     def query(spark, sf_dir):
-        return _outcomes(spark, sf_dir, container.make_patches(_pairs(spark, sf_dir), codec))
+        pairs = _held_pairs(spark, sf_dir)
+        return _outcomes(pairs, container.make_patches(pairs, codec))
 
     return query
 
 
 def session_signed(spark, sf_dir):
-    provider = test_provider()
-    return _outcomes(spark, sf_dir, container.make_patches(_pairs(spark, sf_dir), provider=provider), provider)
+    provider, pairs = test_provider(), _held_pairs(spark, sf_dir)
+    return _outcomes(pairs, container.make_patches(pairs, provider=provider), provider)
 
 
-def _second(spark, sf_dir, provider):
+def _second(pairs: DataFrame, provider: crypto.Provider) -> DataFrame:
     prefix = F.unhex(F.substring(F.sha2(F.col("pair_id").cast("string"), 256), 1, 32))
-    return container.make_patches_2(_pairs(spark, sf_dir).withColumn("nonce_prefix", prefix), provider, KEY_ID)
+    return container.make_patches_2(pairs.withColumn("nonce_prefix", prefix), provider, KEY_ID)
 
 
 def session_encrypted(spark, sf_dir):
-    provider = test_provider()
-    return _outcomes(spark, sf_dir, _second(spark, sf_dir, provider), provider, second=True)
+    provider, pairs = test_provider(), _held_pairs(spark, sf_dir)
+    return _outcomes(pairs, _second(pairs, provider), provider, second=True)
 
 
 def signatures(spark, sf_dir):
     """Signed, signed with one byte of the stream changed, unsigned: valid or not."""
-    provider = test_provider()
-    good = container.make_patches(_pairs(spark, sf_dir), provider=provider)
+    provider, pairs = test_provider(), _held_pairs(spark, sf_dir)
+    good = stored(container.make_patches(pairs, provider=provider), "signed")
     size = F.octet_length("blob")
     flipped = F.concat(F.substring("blob", F.lit(1), size - 1), F.unhex(F.lpad(F.hex((delta.byte_at(F.col("blob"), size - 1) + 1) % 256), 2, "0")))
-    plain = container.make_patches(_pairs(spark, sf_dir))
+    plain = container.make_patches(pairs)
     kinds = {"good": good, "changed": good.withColumn("blob", flipped), "unsigned": plain}
     out = [container.verify_signatures(p, provider).withColumn("kind", F.lit(k)) for k, p in kinds.items()]
     return out[0].union(out[1]).union(out[2])
 
 
 def inspect(spark, sf_dir):
-    seen = container.inspect(container.make_patches(_pairs(spark, sf_dir), L.RAW))
+    seen = container.inspect(container.make_patches(_held_pairs(spark, sf_dir), L.RAW))
     return seen.select("pair_id", "version", "codec", "flags", "product_id", "old_version", "fw_version", "old_size", "new_size", "block_log2", "payload_ok")
 
 
 def record_walk(spark, sf_dir):
     """Records of encrypted patches: every pair has a closing record of four bytes."""
-    rows = container.record_rows(_second(spark, sf_dir, test_provider()))
+    rows = container.record_rows(_second(_held_pairs(spark, sf_dir), test_provider()))
     last = rows.groupBy("pair_id").agg(F.max_by(F.octet_length("ct"), "index").cast("long").alias("last_ct"), (F.max("index") + 1 == F.count("*")).alias("gapless"), F.min(F.octet_length("tag")).cast("long").alias("tag_bytes"))
     return last
 
@@ -237,10 +240,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "device_candidates": device_candidates,
 }
 
-_PAIRS = """WITH d AS (SELECT doc_id AS pair_id, text, substr(text, 1, 64) AS k FROM documents WHERE length(text) >= 200),
-    g AS (SELECT k, min(pair_id) AS base_id FROM d GROUP BY k HAVING count(*) > 1),
-    p AS (SELECT d.pair_id, g.base_id, encode(b.text) AS old, encode(d.text) AS new
-          FROM d JOIN g USING (k) JOIN d b ON b.pair_id = g.base_id WHERE d.pair_id <> g.base_id AND b.text <> d.text) """
+_PAIRS = """WITH d AS (SELECT doc_id AS pair_id, encode(text) AS new FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    i AS (SELECT pair_id, coalesce(lag(pair_id) OVER (ORDER BY pair_id), max(pair_id) OVER ()) AS base_id FROM d),
+    p AS (SELECT i.pair_id, i.base_id, b.new AS old, d.new AS new FROM i JOIN d ON d.pair_id = i.pair_id JOIN d AS b ON b.pair_id = i.base_id) """
 _ROUND_TRIP = _PAIRS + "SELECT pair_id, 0 AS status, 0 AS site, md5(new) AS image_md5, CAST(ceil(octet_length(new) / 1024.0) AS BIGINT) AS erase_ops FROM p"
 _HEADERS = """WITH h AS (SELECT o_orderkey, CASE WHEN o_orderkey % 29 = 0 THEN 2304 ELSE 256 END AS hdr_ver,
     CASE WHEN o_orderkey % 23 = 0 THEN 16 ELSE 8 END AS flags, o_orderkey % 5 AS product_id, o_orderkey % 11 AS fw_version,
@@ -251,8 +253,14 @@ _HEADERS = """WITH h AS (SELECT o_orderkey, CASE WHEN o_orderkey % 29 = 0 THEN 2
 
 ORACLE_SQL: dict[str, str] = {
     "image_inventory": "SELECT doc_id AS image_id, octet_length(encode(text)) AS size, md5(text) AS md5, sha256(text) AS sha256 FROM documents",
+    "image_crc32": """WITH RECURSIVE r AS (SELECT range AS i, range AS v, 0 AS k FROM range(256)
+            UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM r WHERE k < 8),
+        tab AS (SELECT list(v ORDER BY i) AS t FROM r WHERE k = 8),
+        b AS (SELECT doc_id, hex(encode(text)) AS h, t FROM documents, tab)
+        SELECT doc_id AS image_id, xor(list_reduce(list_transform(range(length(h) // 2), lambda k: ('0x' || h[2 * k + 1 : 2 * k + 2])::BIGINT),
+            lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS crc32 FROM b""",
     "base_pairs": _PAIRS + "SELECT pair_id, base_id, md5(old) AS old_md5, md5(new) AS new_md5 FROM p",
-    "gram_index": _PAIRS + """, b AS (SELECT DISTINCT base_id, hex(old) AS h FROM p),
+    "gram_index": """WITH b AS (SELECT doc_id AS base_id, hex(encode(text)) AS h FROM documents WHERE doc_id IS NOT NULL),
         places AS (SELECT base_id, h, unnest(range(length(h) // 2 - 7)) AS pos FROM b)
         SELECT base_id, h[2 * pos + 1 : 2 * pos + 16] AS gram, min(pos)::BIGINT AS first_pos FROM places GROUP BY ALL""",
     "delta_kernel": _PAIRS + "SELECT pair_id, octet_length(new) AS new_size, md5(new) AS image_md5, true AS exact FROM p",
@@ -294,5 +302,5 @@ ORACLE_SQL: dict[str, str] = {
         k AS (SELECT pair_id, n, unnest(range(1, n // 192 + 1)) AS j FROM s)
         SELECT pair_id, j * 3 AS step, j * 192 AS newpos FROM k WHERE j * 192 < n""",
     "device_candidates": _HEADERS + """SELECT c_custkey AS device_id, o_orderkey AS pair_id FROM customer
-        JOIN h ON h.product_id = c_custkey % 5 AND h.old_version = c_custkey % 2 + 3 AND h.fw_version > c_custkey % 2 + 3 WHERE o_orderkey <= 200""",
+        JOIN h ON h.product_id = c_custkey % 5 AND h.old_version = c_custkey % 2 + 3 AND h.fw_version > c_custkey % 2 + 3""",
 }

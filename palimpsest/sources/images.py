@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import uuid
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -14,9 +15,12 @@ from ..functions import layout as L
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, blob, size) of files, whole."""
+    """(path, blob, size) of files, whole. Scans skip empty files, so those that only the listing has come with an
+    empty blob; the listing is the one that Spark's driver holds anyway."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("content").alias("blob"), F.col("length").alias("size"))
+    listed = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "path string")
+    empty = listed.join(files.select("path"), "path", "left_anti").select("path", F.lit(b"").alias("blob"), F.lit(0).cast("long").alias("size"))
+    return files.select("path", F.col("content").alias("blob"), F.col("length").alias("size")).union(empty)
 
 
 def sniffed(files: DataFrame) -> DataFrame:
@@ -96,11 +100,22 @@ def write_files(rows: DataFrame, folder: str, name_col: str, blob_col: str) -> D
 
 
 def publish(images: DataFrame, table: str, id_col: str, bytes_col: str, crc_col: str) -> DataFrame:
-    """Writes images to the path `table`, reads them back and returns (id_col, verified): whether what lies there
-    has the expected checksum. The counterpart of programming flash and reading it back."""
-    images.select(id_col, bytes_col, crc_col).write.mode("overwrite").parquet(table)
-    again = images.sparkSession.read.parquet(table)
-    return again.select(id_col, (F.crc32(bytes_col) == F.col(crc_col)).alias("verified"))
+    """Writes images beside the path `table`, reads them back, and returns (id_col, verified): whether what lies there
+    has the expected checksum. Only where every row does it takes the place of what was there before, so that a lost
+    job or a bad write leaves the old images. The counterpart of programming flash and reading it back."""
+    spark, staged = images.sparkSession, f"{table.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    images.select(id_col, bytes_col, crc_col).write.parquet(staged)
+    checks = spark.read.parquet(staged).select(id_col, F.coalesce(F.crc32(bytes_col) == F.col(crc_col), F.lit(False)).alias("verified"))
+    if not checks.where("not verified").limit(1).count():
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        old, new, gone = hadoop.Path(table), hadoop.Path(staged), hadoop.Path(f"{staged}-old")
+        fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(old):
+            fs.rename(old, gone)
+        fs.rename(new, old)
+        fs.delete(gone, True)
+        staged = table
+    return spark.read.parquet(staged).select(id_col, F.coalesce(F.crc32(bytes_col) == F.col(crc_col), F.lit(False)).alias("verified"))
 
 
 def latest(journal: DataFrame, key: str, order: str) -> DataFrame:
