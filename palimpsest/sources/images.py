@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import uuid
 from urllib.parse import unquote
 
@@ -18,7 +19,7 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, blob, size) of files, whole. Scans skip empty files, so those that only the listing has come with an
     empty blob; the listing is the one that Spark's driver holds anyway."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    listed = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "path string")
+    listed = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(f)),) for f in files.inputFiles()], "path string")
     empty = listed.join(files.select("path"), "path", "left_anti").select("path", F.lit(b"").alias("blob"), F.lit(0).cast("long").alias("size"))
     return files.select("path", F.col("content").alias("blob"), F.col("length").alias("size")).union(empty)
 
