@@ -5,7 +5,8 @@ at the ignored places. Document spans and benchmark spans are hashed under each
 each hit the two texts are laid side by side and the best-scoring stretch of the diagonal decides.
 
 The exploded document spans never leave their task: the benchmark side is cut into blocks of a checked
-size, each broadcast. Only hits are shuffled, once a diagonal, and only texts with a hit are read again.
+size, each broadcast. Only hits are shuffled, once a diagonal, with the few document tokens that an item
+covers there; of the documents, those with a hit are read again.
 """
 
 from __future__ import annotations
@@ -22,13 +23,19 @@ from .common import stored, texts
 MASKS = ("10110001", "11101", "1110001", "101101")
 #: Benchmark spans and tokens broadcast at a time; a larger benchmark takes several passes.
 BLOCK = 1_000_000
-#: Keys of texts with hits up to this number are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Shorter items say too little to be told from common phrases: they match nothing.
+LEAST_TOKENS = 5
+
+
+#: Scripts without blanks between words, for regular expressions.
+UNSPACED = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}"
 
 
 def tokens(text: Column) -> Column:
-    """Hashes of the runs of letters and digits, lower-cased."""
-    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), "")
+    """Hashes of the runs of letters and digits, lower-cased; characters of unspaced scripts stand alone."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    apart = F.when(low.rlike(f"[{UNSPACED}]"), F.regexp_replace(low, f"([{UNSPACED}])", " $1 ")).otherwise(low)
+    words = F.array_remove(F.split(apart, "[^\\p{L}\\p{N}]+"), "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
@@ -48,17 +55,18 @@ def _spans(masks: tuple[str, ...]) -> Column:
 def spaced_seed_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, min_score: int = 10) -> DataFrame:
     """(doc_id, item_id, score, doc_pos): the documents that hold a passage of a benchmark item.
 
-    Tokens are runs of letters and digits, lower-cased. Under a hit, equal tokens of the diagonal count 1 and
+    Tokens are runs of letters and digits, lower-cased, and single characters of scripts that write words without
+    blanks (Han, Kana, Thai, Lao, Khmer, Myanmar). Under a hit, equal tokens of the diagonal count 1 and
     differing ones -1; score is the best stretch's sum and doc_pos the token at which the diagonal meets the
     item's first token (negative if the document begins inside the item). A pair is returned if its score
     reaches min_score, so ten equal tokens, or more with ten fewer changes than equal ones, are a leak; none is
-    missed at a min_score of 10 or more, below that only those with a hit are found. Items under ten tokens
-    cannot reach 10 and match nothing. Null and
-    blank texts match nothing, null ids are groups like any other, repeated rows give one row, an empty
-    table on either side gives none.
+    missed at a min_score of 10 or more, below that only those with a hit are found. An item of fewer than min_score
+    tokens but LEAST_TOKENS at least is a leak where a document holds it whole, word for word; shorter ones match
+    nothing. Null and blank texts match nothing, null ids are groups like any other, repeated rows give one row, an
+    empty table on either side gives none.
     """
     docs = texts(docs, id_col, text_col).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    items = bench.select(bench[item_col].alias("item_id"), tokens(bench[item_text_col].cast("string")).alias("w")).where(F.size("w") >= min(map(len, masks)))
+    items = bench.select(bench[item_col].alias("item_id"), tokens(bench[item_text_col].cast("string")).alias("w")).where(F.size("w") >= LEAST_TOKENS)
     items = items.dropDuplicates(["item_id", "w"]).withColumn("row", F.xxhash64("item_id", "w"))
     spans = docs.select("doc_id", "text_key", tokens(docs.text).alias("w")).select("doc_id", "text_key", F.size("w").alias("size"), "w")
     spans = spans.select("doc_id", "text_key", "size", F.posexplode_outer(_spans(masks)).alias("at", "seed")).where("seed is not null")
@@ -69,19 +77,22 @@ def spaced_seed_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id",
     found = []
     for b in range(blocks):
         seeds = items.where(F.pmod("row", F.lit(blocks)) == b).select("row", F.size("w").alias("n"), F.posexplode_outer(_spans(masks)).alias("ipos", "seed")).where("seed is not null")
-        hits = spans.join(side(seeds.select("row", "seed", (F.col("ipos") % F.col("n")).alias("ipos"))), "seed")
-        found.append(hits.select("doc_id", "text_key", "row", (F.col("at") % F.col("size") - F.col("ipos")).alias("diagonal")))
+        hits = spans.join(side(seeds.select("row", "n", "seed", (F.col("ipos") % F.col("n")).alias("ipos"))), "seed")
+        found.append(hits.select("doc_id", "text_key", "row", "n", (F.col("at") % F.col("size") - F.col("ipos")).alias("diagonal")))
     hits = stored(reduce(DataFrame.union, found).distinct(), "hits")
 
     ids = hits.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     same = docs.doc_id.eqNullSafe(F.col("_doc")) & (docs.text_key == F.col("_key"))
-    hit = docs.join(F.broadcast(ids) if small else ids, same, "left_semi").dropDuplicates(["doc_id", "text_key"])
+    hit = docs.join(ids, same, "left_semi").dropDuplicates(["doc_id", "text_key"])
     hit = hit.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), tokens(F.col("text")).alias("w"))
-    pairs = hits.join(hit, hits.doc_id.eqNullSafe(F.col("_doc")) & (hits.text_key == F.col("_key"))).join(items.select("row", "item_id", F.col("w").alias("iw")), "row")
-    step = "if(get(w, j + diagonal) = iw[j], 1, -1)"
-    stretch = f"""aggregate(sequence(greatest(0, -diagonal), least(size(iw), size(w) - diagonal) - 1), struct(0 as now, 0 as best),
+    met = hits.join(hit, hits.doc_id.eqNullSafe(F.col("_doc")) & (hits.text_key == F.col("_key")))
+    # the document's tokens beside the item: w[0] of the slice meets the item's token number `skip`
+    slice_ = F.slice("w", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.least(F.col("n"), F.col("n") + F.col("diagonal")))
+    met = met.select("doc_id", "row", "n", "diagonal", slice_.alias("w"), F.greatest(-F.col("diagonal"), F.lit(0)).alias("skip"))
+    pairs = met.join(items.select("row", "item_id", F.col("w").alias("iw")), "row")
+    step = "if(w[j] = iw[j + skip], 1, -1)"
+    stretch = f"""aggregate(sequence(0, size(w) - 1), struct(0 as now, 0 as best),
         (s, j) -> struct(greatest(0, s.now + {step}) as now, greatest(s.best, s.now + {step}) as best)).best"""
-    scored = pairs.select("doc_id", "item_id", F.expr(stretch).alias("score"), F.col("diagonal").alias("doc_pos")).where(F.col("score") >= min_score)
+    scored = pairs.select("doc_id", "item_id", F.expr(stretch).alias("score"), F.col("diagonal").alias("doc_pos"), "n").where(F.col("score") >= F.least(F.lit(min_score), F.col("n")))
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("doc_pos")).alias("p"))).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.score").cast("long").alias("score"), (-F.col("best.p")).cast("long").alias("doc_pos"))

@@ -171,7 +171,7 @@ def plain_leaks(docs, items, masks=decontaminate.MASKS, least=10):
                 for j in range(max(0, -g), min(len(iw), len(w) - g)):
                     now = max(0, now + (1 if w[j + g] == iw[j] else -1))
                     best = max(best, now)
-                if best >= least:
+                if len(iw) >= 5 and best >= min(least, len(iw)):
                     out[d, i] = max(out.get((d, i), (0, -(10**9))), (best, -g))
     return {(d, i, s, -g) for (d, i), (s, g) in out.items()}
 
@@ -186,14 +186,13 @@ def test_decontamination_agrees_with_all_diagonals(spark, monkeypatch):
         for at in range(4, len(changed), 7):
             changed[at] = "changed"
         docs.append((700 + i, " ".join(changed)))
-        docs.append((800 + i, " ".join(words[:9])))  # nine words are no leak
+        docs.append((800 + i, " ".join(words[:9])))  # nine words are a leak of an item that has no more
     docs += [docs[30], (None, items[0][1])]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("seed", F.lit(1)).withColumn("row", F.lit(1))
     wanted = plain_leaks(docs, items)
     assert {d for d, *_ in wanted} >= {600, 604, None}
-    for block, ids, some in ((1_000_000, 500_000, "true"), (300, 1, "true"), (len(items[1][1].split()) - 1, 1, "item_id = 1")):  # one pass, several, an item longer than a block
+    for block, some in ((1_000_000, "true"), (300, "true"), (len(items[1][1].split()) - 1, "item_id = 1")):  # one pass, several, an item longer than a block
         monkeypatch.setattr(decontaminate, "BLOCK", block)
-        monkeypatch.setattr(decontaminate, "BROADCAST_IDS", ids)
         got = {tuple(r) for r in decontaminate.spaced_seed_hits(frame(spark, docs), bench.where(some)).collect()}
         assert got == {w for w in wanted if some == "true" or w[1] == 1}
     assert decontaminate.spaced_seed_hits(frame(spark, []), bench).count() == 0
@@ -648,11 +647,18 @@ def all_leaks(docs, items, least=10):
                 for j in range(max(0, -g), min(len(iw), len(w) - g)):
                     now = max(0, now + (1 if w[j + g] == iw[j] else -1))
                     best = max(best, now)
-                if best >= least:
+                if len(iw) >= 5 and best >= min(least, len(iw)):
                     out[d, i] = max(out.get((d, i), (0, -(10**9))), (best, -g))
     return {(d, i, s, -g) for (d, i), (s, g) in out.items()}
 
 
+def test_short_items_and_scripts_without_blanks(spark):
+    items = [(1, "one two three four"), (2, "one two three four five"), (3, "alpha beta gamma delta eps zeta eta theta iota"), (4, "我们今天下午三点在图书馆见面好吗"), (5, "สวัสดีครับผมชื่อสมชาย")]
+    docs = [(1, "zero one two three four five six"), (2, "alpha beta gamma delta eps zeta eta theta iota kappa"), (3, "alpha beta gamma delta eps zeta eta theta other"), (4, "他说我们今天下午三点在图书馆见面好吗。"), (5, "今天三点图书馆"), (6, "ว่าสวัสดีครับผมชื่อสมชาย")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.spaced_seed_hits(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 2), (2, 3), (4, 4), (6, 5)}
+
+
 def test_no_leak_escapes_the_masks():
     masks, width = [int(m, 2) for m in decontaminate.MASKS], max(map(len, decontaminate.MASKS)) - 1
     best, before = {0: 0}, None  # last tokens, equal or not, after which no mask has had a hit: the highest score so far
