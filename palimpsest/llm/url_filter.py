@@ -4,8 +4,8 @@ Two variable-order Markov models, of accepted and of rejected URLs, are counted
 over every URL that a rule decides, and smoothed by Witten-Bell interpolation from order 0 to ORDER. Their
 log ratio becomes one dense array over an alphabet of 32 symbols (32 ** (ORDER + 1) entries, whatever the
 input), read as a scalar subquery, so scoring needs neither a join nor a shuffle. A URL's score is its
-summed log ratio over its length; the threshold is the one with the least balanced error on the labelled
-URLs.
+summed log ratio over its length. The threshold is the one with the least balanced error on the labelled URLs,
+each scored by models that have not seen it: two more pairs are counted from either half of the URLs, by hash.
 """
 
 from __future__ import annotations
@@ -59,13 +59,17 @@ def _grams(size: int) -> str:
     return f"""transform(sequence(0, size(w) - 1), i -> ({' + '.join(f'if(i >= {k}, get(w, i - {k}), 0) * {32**k}' for k in range(size))}) & {mask})"""
 
 
-def _model(labelled: DataFrame, order: int) -> DataFrame:
+def _counts(labelled: DataFrame, order: int) -> DataFrame:
+    """(g, fold, a, b): how often accepted and rejected URLs of either half hold each gram; 2 * 32 ** (order + 1) rows at most."""
+    grams = labelled.where("size(w) > 0").select("verdict", "fold", F.explode(F.expr(_grams(order + 1))).alias("g"))
+    of = {v: F.coalesce(F.count_if(F.col("verdict") == name), F.lit(0)) for v, name in (("a", "allow"), ("b", "block"))}
+    return grams.groupBy("g", "fold").agg(*(n.alias(v) for v, n in of.items()))
+
+
+def _model(counts: DataFrame, order: int) -> DataFrame:
     """One row, one array: log P(symbol | context) of accepted over rejected, by gram of order + 1 symbols."""
     size = order + 1
-    grams = labelled.where("size(w) > 0").select("verdict", F.explode(F.expr(_grams(size))).alias("g"))
-    of = {v: F.coalesce(F.count_if(F.col("verdict") == name), F.lit(0)) for v, name in (("a", "allow"), ("b", "block"))}
-    counts = stored(grams.groupBy("g").agg(*(n.alias(v) for v, n in of.items())), "grams")  # at most 32 ** size rows
-    grid = labelled.sparkSession.range(32**size).select(F.col("id").alias("g"), F.lit(1 / 32).alias("pa"), F.lit(1 / 32).alias("pb"))
+    grid = counts.sparkSession.range(32**size).select(F.col("id").alias("g"), F.lit(1 / 32).alias("pa"), F.lit(1 / 32).alias("pb"))
     for k in range(size):  # order k sees k symbols of context
         ends = counts.groupBy((F.col("g") % 32 ** (k + 1)).alias("e")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         context = ends.groupBy(F.floor(F.col("e") / 32).alias("c")).agg(*(x for v in "ab" for x in (F.sum(v).alias(f"n{v}"), F.count_if(F.col(v) > 0).alias(f"t{v}"))))
@@ -86,6 +90,29 @@ def _threshold(scored: DataFrame) -> DataFrame:
     return best.select("cell", F.round(error, 9).alias("error")).agg(F.min_by("cell", F.struct("error", "cell")).alias("t"))
 
 
+def _prepared(pages: DataFrame, id_col: str, url_col: str, rules) -> DataFrame:
+    """(page_id, host, path, fold, rule, verdict, w) of every row: which half its URL is in, what the rules say, its symbols."""
+    urls = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"))
+    host, path = host_and_path(F.col("url"))
+    fold = F.pmod(F.xxhash64("url"), F.lit(2)).cast("int")
+    urls = urls.select("page_id", host.alias("host"), path.alias("path"), "url", fold.alias("fold")).withColumn("rule", ruled(F.col("host"), F.col("path"), rules))
+    return urls.select("page_id", "host", "path", "fold", F.col("rule.rule").alias("rule"), F.col("rule.verdict").alias("verdict"), _codes(F.col("url")).alias("w"))
+
+
+def _score(order: int) -> Column:
+    """Summed log ratio of the symbols of w under the model lm, over their number."""
+    total = F.aggregate(F.expr(_grams(order + 1)), F.lit(0.0), lambda s, g: s + F.get(F.col("lm"), g))
+    return F.round(F.when(F.size("w") > 0, total / F.size("w")).otherwise(F.lit(0.0)), 9)
+
+
+def _held_out(labelled: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """The gram counts, and (verdict, cell) of every labelled URL under the models of the half that it is not in."""
+    counts = stored(_counts(labelled, order), "grams")
+    unseen = [stored(_model(counts.where(F.col("fold") != half), order), "model").scalar() for half in (0, 1)]
+    scored = labelled.withColumn("lm", F.when(F.col("fold") == 0, unseen[0]).otherwise(unseen[1])).select("verdict", _score(order).alias("score"))
+    return counts, scored.select("verdict", F.floor(F.col("score") * GRID).alias("cell"))
+
+
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, order: int = ORDER) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for every row.
 
@@ -95,16 +122,21 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     allowed. Without rule-decided URLs of both verdicts, as in an empty table, nothing is blocked by the
     models. Null ids and repeated rows come back as they are; the threshold's ties go to the lower score.
     """
-    urls = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"))
-    host, path = host_and_path(F.col("url"))
-    urls = urls.select("page_id", host.alias("host"), path.alias("path"), "url").withColumn("rule", ruled(F.col("host"), F.col("path"), rules))
-    urls = urls.select("page_id", "host", "path", F.col("rule.rule").alias("rule"), F.col("rule.verdict").alias("verdict"), _codes(F.col("url")).alias("w"))
-    ruled_urls = urls.where("verdict is not null")
-    lm = stored(_model(ruled_urls.select("verdict", "w"), order), "model").scalar()
-    total = F.aggregate(F.expr(_grams(order + 1)), F.lit(0.0), lambda s, g: s + F.get(F.col("lm"), g))
-    score = F.when(F.size("w") > 0, total / F.size("w")).otherwise(F.lit(0.0))
-    scored = urls.withColumn("lm", lm).withColumn("score", F.round(score, 9)).withColumn("cell", F.floor(F.col("score") * GRID)).drop("lm")
-    t = stored(_threshold(scored.where("verdict is not null").select("verdict", "cell")), "threshold").scalar()
-    blocked = (F.col("cell") < t) & (F.size("w") > 0)
+    urls = _prepared(pages, id_col, url_col, rules)
+    counts, held_out = _held_out(urls.where("verdict is not null").select("verdict", "fold", "w"), order)
+    t = stored(_threshold(held_out), "threshold").scalar()
+    lm = stored(_model(counts, order), "model").scalar()
+    scored = urls.withColumn("lm", lm).withColumn("score", _score(order)).drop("lm")
+    blocked = (F.floor(F.col("score") * GRID) < t) & (F.size("w") > 0)
     verdict = F.coalesce("verdict", F.when(blocked, F.lit("block")).otherwise(F.lit("allow")))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+
+
+def held_out_error(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, order: int = ORDER) -> DataFrame:
+    """One row (allowed, allowed_lost, blocked, blocked_missed): how many URLs that rules decide the models of the other
+    half put on the wrong side of the threshold that filter_urls uses."""
+    _, cells = _held_out(_prepared(pages, id_col, url_col, rules).where("verdict is not null").select("verdict", "fold", "w"), order)
+    cells = stored(cells, "cells")
+    t = stored(_threshold(cells), "threshold").scalar()
+    good, low = F.col("verdict") == "allow", F.col("cell") < F.col("t")
+    return cells.withColumn("t", t).agg(F.count_if(good).alias("allowed"), F.count_if(good & low).alias("allowed_lost"), F.count_if(~good).alias("blocked"), F.count_if(~good & ~low).alias("blocked_missed"))
