@@ -7,11 +7,15 @@ Plan, per document unless said otherwise:
 2. documents with equal sets are one class, represented by their least id;
 3. a second pass orders each representative's set rare-first and keeps the prefix that any partner must hit;
 4. prefix shingles are joined. First only neighbours by place in the prefix and the first of each shingle's
-   documents are paired, so a group of n near copies costs about n pairs. Verified links give components;
-5. the shingles that still join different components are joined in full, every pair across components
-   that passes the filters is verified once, and the components are completed.
+   documents are paired, so a group of n near copies costs about n pairs. Verified links give components.
+   The entries of a shingle that the table calls common are dealt over SALTS parts, whose firsts then meet;
+5. the shingles that still join different components are joined in full, but for the entries of a shingle's
+   largest component with each other; every pair across components that passes the filters is verified once,
+   and the components are completed.
 
 So no link between different sets is lost, and pairs inside a component that is already known are never made.
+Texts are read where they lie and never shuffled: which of them a pass needs is told by a bitmap of hashed ids of
+bounded size, whose false hits cost time and nothing else. There is one plan for any number of documents.
 """
 
 from __future__ import annotations
@@ -30,9 +34,13 @@ from .shingles import mix, shingle_sets
 #: Buckets of the frequency table. More tell more of the rare shingles apart; any number gives the same links.
 BUCKETS = 1 << 20
 BLOCK = 1 << 14
-#: Ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-PARTS_LOG2 = 8  # the suffix filter compares counts in 256 parts of the hash range
+#: Bits of the bitmap that says which documents a pass needs: eight an id, 16 MB at most whatever their number.
+LEAST_BITS_LOG2, MOST_BITS_LOG2 = 15, 27
+#: A shingle's entries are dealt over so many parts if its bucket holds COMMON more than eight times the mean.
+SALTS, COMMON = 256, 1024
+#: The suffix filter bounds the overlap of two sets by their counts in 256 parts of the hash range: one level of the
+#: recursive halving by pivots of the published filter, taken over the whole set so that one row a document serves all pairs.
+PARTS_LOG2 = 8
 
 
 def _profile(n: int, buckets: int):
@@ -79,41 +87,72 @@ def _summed(batches):
 
 
 def _levels(spark: SparkSession, profile: DataFrame, buckets: int):
-    """The frequency table, a byte a bucket: the logarithm of the corpus count. BUCKETS bytes whatever the corpus."""
+    """The frequency table, a byte a bucket: the logarithm of the corpus count. BUCKETS bytes whatever the corpus. And
+    the level from which a bucket is common."""
     blocks = profile.where("block is not null").select("block", "counts").repartition(min(16, -(-buckets // BLOCK)), "block")
     table = np.zeros(-(-buckets // BLOCK) * BLOCK, np.uint8)
     for row in blocks.mapInArrow(_summed, "block int, levels binary").collect():
         table[row.block * BLOCK :][: len(row.levels)] = np.frombuffer(row.levels, np.uint8)
-    return spark.sparkContext.broadcast(table)
+    mean = float((2.0 ** (table[:buckets] / 8) - 1).mean())
+    return spark.sparkContext.broadcast((table, 8 * np.log2(COMMON + 8 * mean)))
 
 
-def _prefixes(n: int, num: int, den: int, buckets: int, levels):
+class _Members:
+    """A bitmap of hashed ids; small ones are as small as their ids allow."""
+
+    def __init__(self, ids: DataFrame) -> None:
+        n = ids.count()
+        log2 = min(MOST_BITS_LOG2, max(LEAST_BITS_LOG2, (8 * n).bit_length()))
+        self.bits = 1 << log2
+        bit = ids.select(self.bit("doc_id").alias("bit"))
+        parts = bit.groupBy(F.shiftright("bit", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit((1 << 15) - 1))).alias("part"))
+        flat = np.zeros(self.bits // 8, np.uint8)
+        for row in parts.collect():  # 4 KB each, self.bits / 2 ** 15 of them
+            flat[row.k << 12 : (row.k << 12) + (1 << 12)] = np.frombuffer(row.part, np.uint8)
+        self.flat = ids.sparkSession.sparkContext.broadcast(flat)
+
+    def bit(self, column: str):
+        return F.xxhash64(column).bitwiseAND(F.lit(self.bits - 1))
+
+    def of(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, text, bit) of docs, for a kernel that calls some()."""
+        return docs.select("doc_id", "text", self.bit("doc_id").alias("bit"))
+
+
+def _some(flat: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows whose bit is set."""
+    bit = batch.column("bit").to_numpy()
+    return batch.filter(pa.array((flat[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
+
+
+def _prefixes(n: int, num: int, den: int, buckets: int, levels, members):
+    """The lowest bit of a token says whether its shingle is common."""
+
     def run(batches):
-        table = levels.value
+        (table, common), flat = levels.value, members.value
         for batch in batches:
+            batch = _some(flat, batch)
             sizes, parts = np.zeros(len(batch), np.int64), []
             lengths = np.zeros(len(batch) + 1, np.int64)
             for i, h in shingle_sets(batch, "text", n):
                 if size := len(h):
                     p = size - -(-num * size // den) + 1
                     level = table[(h & np.uint64(buckets - 1)).view(np.int64)]
-                    if p < size:  # of equal levels the smaller hash is first; h is sorted
-                        order = np.argsort(level, kind="stable")[:p]
-                        h = h[order]
-                    else:
-                        h = h[np.argsort(level, kind="stable")]
-                    sizes[i], lengths[i + 1] = size, len(h)
-                    parts.append(h)
-            flat = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
-            tokens = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(flat))
+                    order = np.argsort(level, kind="stable")[:p]  # of equal levels the smaller hash is first; h is sorted
+                    sizes[i], lengths[i + 1] = size, len(order)
+                    parts.append(h[order] & ~np.uint64(1) | (level[order] > common).astype(np.uint64))
+            flat_tokens = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
+            tokens = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(flat_tokens))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes), tokens], names=["doc", "n", "tokens"])
 
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, members):
     def run(batches):
+        flat_bits = members.value
         for batch in batches:
+            batch = _some(flat_bits, batch)
             parts, lengths = [], np.zeros(len(batch) + 1, np.int64)
             for i, h in shingle_sets(batch, "text", n):
                 lengths[i + 1] = len(h)
@@ -125,16 +164,6 @@ def _sets(n: int):
     return run
 
 
-def _sided(df: DataFrame) -> DataFrame:
-    """df to be broadcast in a join if it has few rows of ids, else as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
-
-
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids (one column, distinct)."""
-    return docs.join(_sided(ids), "doc_id", "left_semi")
-
-
 def _passes(num: int, den: int):
     """Length and positional filters of a pair x, y that share the shingle at px and py of their order."""
     length = f"least(nx, ny) * {den} >= greatest(nx, ny) * {num}"
@@ -149,14 +178,15 @@ def _ids(pairs: DataFrame) -> DataFrame:
 def _verified(docs: DataFrame, sized: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link. The suffix filter goes first, on the counts in parts of the hash range: shingles
     in common are at most the smaller counts' sum. Sets are made again from the texts of what remains."""
-    hists = _only(sized.select("doc_id", "hist"), _ids(pairs))
+    hists = sized.select("doc_id", "hist").join(_ids(pairs), "doc_id", "left_semi")
     x, y = (hists.select(F.col("doc_id").alias(k), F.col("hist").alias(f"h{k}")) for k in "ab")
     total = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + v)
     most = total(F.zip_with("ha", "hb", lambda p, q: F.least(p, q)))
     suffix = most * (num + den) >= (total("ha") + total("hb")) * num
     near = stored(pairs.join(x, "a").join(y, "b").where(suffix).select("a", "b"), "near")
 
-    sets = stored(_only(docs, _ids(near)).mapInArrow(_sets(n), "doc long, tokens array<long>"), "sets")
+    members = _Members(_ids(near))
+    sets = stored(members.of(docs).mapInArrow(_sets(n, members.flat), "doc long, tokens array<long>"), "sets")
     x, y = (sets.select(F.col("doc").alias(k), F.col("tokens").alias(f"t{k}")) for k in "ab")
     size, same = F.size("ta") + F.size("tb"), F.size(F.array_intersect("ta", "tb"))
     return near.join(x, "a").join(y, "b").where(same * den >= (size - same) * num).select("a", "b")
@@ -179,31 +209,35 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     levels = _levels(spark, profile, buckets)
 
     known = docs.where("doc_id is not null")
-    reps = _only(known, classes.select("doc_id").distinct())
-    prefixes = reps.mapInArrow(_prefixes(n, num, den, buckets, levels), "doc long, n long, tokens array<long>")
+    members = _Members(classes.select("doc_id").distinct())
+    prefixes = members.of(known).mapInArrow(_prefixes(n, num, den, buckets, levels, members.flat), "doc long, n long, tokens array<long>")
     entries = prefixes.select("doc", "n", F.posexplode("tokens").alias("p", "token"))
+    salt = F.when(F.col("token").bitwiseAND(F.lit(1)) == 1, F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).otherwise(-1)
     # first the documents with the fewest rarer shingles: of near copies those closest to the original
-    by_token = Window.partitionBy("token").orderBy("p", "n", "doc")
+    closest = Window.partitionBy("token", "salt").orderBy("p", "n", "doc")
     this = F.struct("doc", "n", "p")
-    entries = entries.select("token", "doc", "n", "p", F.lag(this).over(by_token).alias("prev"), F.lead("doc").over(by_token).alias("next"), F.first(this).over(by_token).alias("first"))
-    entries = stored(entries.where("prev is not null or next is not null"), "entries")
+    before = [F.lag(this).over(closest).alias("prev"), F.first(this).over(closest).alias("first")]
+    entries = entries.withColumn("salt", salt).select("token", "salt", "doc", "n", "p", *before, F.lead("doc").over(closest).alias("next"))
+    entries = stored(entries.where("prev is not null or next is not null or salt >= 0"), "entries")
+    closest = Window.partitionBy("token").orderBy("p", "n", "doc")
+    heads = entries.where("salt >= 0 and prev is null").select("token", "doc", "n", "p", F.lag(this).over(closest).alias("prev"), F.first(this).over(closest).alias("first"))
 
     near = F.explode(F.array("prev", "first")).alias("o")
-    few = entries.where("prev is not null").select("doc", "n", "p", near).selectExpr("o.doc x", "o.n nx", "o.p px", "doc y", "n ny", "p py")
+    few = entries.select(*heads.columns).union(heads).where("prev is not null").select("doc", "n", "p", near).selectExpr("o.doc x", "o.n nx", "o.p px", "doc y", "n ny", "p py")
     few = stored(few.where(_passes(num, den)).selectExpr("least(x, y) a", "greatest(x, y) b").distinct(), "pairs")
     links = _verified(known, sized, few, n, num, den)
-    stars = components(links)
-
-    of = _sided(stars.selectExpr("node doc", "component"))
-    entries = entries.select("token", "doc", "n", "p").join(of, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    token = Window.partitionBy("token")
-    entries = entries.withColumn("least", F.min("component").over(token)).withColumn("most", F.max("component").over(token)).where("least != most")
-    entries = stored(entries.select("token", "doc", "n", "p", "component"), "mixed")
-    index = f"p < n - (2 * {num} * n + {num + den - 1}) div {num + den} + 1"  # of the shorter of two
-    x = entries.where(F.expr(index)).selectExpr("token", "doc x", "n nx", "p px", "component cx")
+    stars = stored(components(links), "stars")
+
+    entries = entries.select("token", "doc", "n", "p").join(stars.selectExpr("node doc", "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    entries = stored(entries, "placed")
+    mixed = entries.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("token")
+    entries = stored(entries.join(mixed, "token", "left_semi"), "mixed")
+    largest = entries.groupBy("token", "component").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+    index = lambda k: f"p{k} < n{k} - (2 * {num} * n{k} + {num + den - 1}) div {num + den} + 1"  # noqa: E731  of the shorter of two
+    x = entries.join(largest, "token").where("component != main").selectExpr("token", "main", "doc x", "n nx", "p px", "component cx")
     y = entries.selectExpr("token", "doc y", "n ny", "p py", "component cy")
-    rest = x.join(y, "token").where("cx != cy and (nx < ny or nx = ny and x < y)").where(_passes(num, den))
-    rest = rest.selectExpr("least(x, y) a", "greatest(x, y) b").distinct().join(few, ["a", "b"], "left_anti")
+    met = x.join(y, "token").where(f"cx != cy and (cy = main or x < y) and if(nx < ny or nx = ny and x < y, {index('x')}, {index('y')})").where(_passes(num, den))
+    rest = met.selectExpr("least(x, y) a", "greatest(x, y) b").distinct().join(few, ["a", "b"], "left_anti")
     more = _verified(known, sized, stored(rest, "pairs"), n, num, den)
     whole = components(stars.selectExpr("node a", "component b").union(more))
 

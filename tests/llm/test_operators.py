@@ -93,15 +93,26 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_jaccard_join_agrees_with_all_pairs(spark):
+@pytest.mark.parametrize("common", [1024, 1])
+def test_jaccard_join_agrees_with_all_pairs(spark, monkeypatch, common):
+    monkeypatch.setattr(jaccard_join, "COMMON", common)  # 1: every shingle's entries are dealt over parts
+    monkeypatch.setattr(jaccard_join, "SALTS", 3 if common == 1 else 256)
     got = jaccard_join.ngram_jaccard_join(frame(spark, ROWS)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == linked(ROWS)
     few = jaccard_join.ngram_jaccard_join(frame(spark, ROWS), buckets=1 << 14).collect()
     assert sorted(map(tuple, few)) == sorted(map(tuple, got))  # the order of shingles changes no link
 
 
-def test_jaccard_join_of_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 1)  # the way beyond a broadcast
+def test_the_bitmap_keeps_every_member(spark):
+    ids = [(i * 7919,) for i in range(5000)]
+    members = jaccard_join._Members(spark.createDataFrame(ids, "doc_id long"))
+    flat = members.flat.value
+    bits = [r.bit for r in spark.createDataFrame(ids, "doc_id long").select(members.bit("doc_id").alias("bit")).collect()]
+    assert all(flat[b >> 3] >> (b & 7) & 1 for b in bits)
+    assert int(np.unpackbits(flat).sum()) == len(set(bits))
+
+
+def test_jaccard_join_of_odd_rows(spark):
     got = jaccard_join.ngram_jaccard_join(frame(spark, ROWS[:40] + ODD)).collect()
     assert len(got) == 40 + len(ODD)
     assert [r.component_id for r in got if r.doc_id == 500] == [0, 0]
