@@ -8,7 +8,7 @@ Plan, per document unless said otherwise:
 3. a second pass orders each representative's set rare-first and keeps the prefix that any partner must hit;
 4. prefix shingles are joined. First only neighbours by place in the prefix and the first of each shingle's
    documents are paired, so a group of n near copies costs about n pairs. Verified links give components.
-   The entries of a shingle that the table calls common are dealt over SALTS parts, whose firsts then meet;
+   The entries of a shingle that the table calls common are dealt over SALTS parts, and each meets the first of all;
 5. the shingles that still join different components are joined in full, but for the entries of a shingle's
    largest component with each other; every pair across components that passes the filters is verified once,
    and the components are completed.
@@ -219,11 +219,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     before = [F.lag(this).over(closest).alias("prev"), F.first(this).over(closest).alias("first")]
     entries = entries.withColumn("salt", salt).select("token", "salt", "doc", "n", "p", *before, F.lead("doc").over(closest).alias("next"))
     entries = stored(entries.where("prev is not null or next is not null or salt >= 0"), "entries")
-    closest = Window.partitionBy("token").orderBy("p", "n", "doc")
-    heads = entries.where("salt >= 0 and prev is null").select("token", "doc", "n", "p", F.lag(this).over(closest).alias("prev"), F.first(this).over(closest).alias("first"))
+    # and of a common shingle's entries each meets the first of all parts, which near copies share with each other less than with it
+    common = entries.where("salt >= 0").select("token", "doc", "n", "p")
+    firsts = common.groupBy("token").agg(F.min(F.struct("p", "n", "doc")).alias("f"))
+    whole = common.join(firsts, "token").where("doc != f.doc").selectExpr("f.doc x", "f.n nx", "f.p px", "doc y", "n ny", "p py")
 
     near = F.explode(F.array("prev", "first")).alias("o")
-    few = entries.select(*heads.columns).union(heads).where("prev is not null").select("doc", "n", "p", near).selectExpr("o.doc x", "o.n nx", "o.p px", "doc y", "n ny", "p py")
+    few = entries.where("prev is not null").select("doc", "n", "p", near).selectExpr("o.doc x", "o.n nx", "o.p px", "doc y", "n ny", "p py").union(whole)
     few = stored(few.where(_passes(num, den)).selectExpr("least(x, y) a", "greatest(x, y) b").distinct(), "pairs")
     links = _verified(known, sized, few, n, num, den)
     stars = stored(components(links), "stars")
