@@ -27,29 +27,33 @@ BLOCK = 1_000_000
 LEAST_TOKENS = 5
 
 
-#: Scripts without blanks between words, for regular expressions.
+#: Scripts without blanks between words, for regular expressions, and the range of characters that they lie in.
 UNSPACED = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}"
+_FAR = "[\u0e00-\u1fff\u2e80-\ud7ff\uf900-\ufaff\\x{10000}-\\x{10ffff}]"
 
 
 def tokens(text: Column) -> Column:
     """Hashes of the runs of letters and digits, lower-cased; characters of unspaced scripts stand alone."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    apart = F.when(low.rlike(f"[{UNSPACED}]"), F.regexp_replace(low, f"([{UNSPACED}])", " $1 ")).otherwise(low)
+    apart = F.when(low.rlike(_FAR), F.regexp_replace(low, f"([{UNSPACED}])", " $1 ")).otherwise(low)
     words = F.array_remove(F.split(apart, "[^\\p{L}\\p{N}]+"), "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(mask: str, k: int) -> str:
-    """SQL: hashes of all spans of the token array w under mask number k."""
+def _seeds(mask: str, k: int) -> Column:
+    """A seed for each place of the token array w, null where mask number k reaches beyond its end: the selected tokens'
+    hashes, shifted by their order and put together by exclusive or. Other tokens with an equal seed cost a comparison."""
     at = [j for j, c in enumerate(mask) if c == "1"]
-    picks = ", ".join(f"w[i + {j}]" if j else "w[i]" for j in at)
-    return f"if(size(w) >= {len(mask)}, transform(sequence(0, size(w) - {len(mask)}), i -> xxhash64({k}, {picks})), array())"
+    with_next = lambda bits: lambda x, y: x.bitwiseXOR(F.shiftleft(y, bits))
+    out = F.transform("w", lambda x: x.bitwiseXOR(F.lit(k)))
+    for n, j in enumerate(at[1:], 1):
+        out = F.zip_with(out, F.slice("w", j + 1, F.size("w")), with_next(13 * n % 61))
+    return out
 
 
 def _spans(masks: tuple[str, ...]) -> Column:
-    """All seeds of w, each mask padded to size(w) entries, so that position modulo size(w) is the place."""
-    parts = [f"concat({_seeds(m, k)}, array_repeat(cast(null as bigint), least(size(w), {len(m) - 1})))" for k, m in enumerate(masks)]
-    return F.expr(f"concat({', '.join(parts)})")
+    """All seeds of w, size(w) a mask, so that position modulo size(w) is the place. Masks begin and end with 1."""
+    return F.concat(*(_seeds(m, k) for k, m in enumerate(masks)))
 
 
 def spaced_seed_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, min_score: int = 10) -> DataFrame:
