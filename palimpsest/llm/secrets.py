@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import stored, texts
 
 # Fixed patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -192,10 +192,17 @@ def _words(batches):
 
 
 def common_words(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS) -> list[str]:
-    """The `most` commonest words of all texts outside credential contexts, commonest first, ties by the word."""
+    """The commonest words of all texts outside credential contexts, commonest first, equal ones by the word: at most
+    `most`, and of the words that are as common as the first that would be one too many none."""
     found = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(_words, "word string, n long")
-    top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return [r.word for r in top.collect()]
+    counts = stored(found.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    least, held = 0, 0  # different counts are few: k of them need k * (k + 1) / 2 words
+    for row in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():
+        held += row.words
+        if held > most:
+            least = row.n
+            break
+    return [r.word for r in counts.where(F.col("n") > least).orderBy(F.desc("n"), "word").collect()]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
