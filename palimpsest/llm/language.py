@@ -24,6 +24,7 @@ from .shingles import column
 #: those whose ids have the least hashes.
 SAMPLE = 500
 CELLS = 1 << 16
+MOST_LABELS = 4096
 ALPHA = 0.02
 #: Letter trigrams a text counts for at most; they depend on each other, so more would only feign certainty.
 WEIGHT = 40.0
@@ -87,6 +88,9 @@ def _least_hashed(rows: DataFrame, most: int) -> DataFrame:
     under a bound on the hash, from the label's count, are ranked: about `most` a label, however many rows it has."""
     share = (F.xxhash64("id").cast("double") / 2.0**63 + 1) / 2
     counts = rows.groupBy("label").agg(F.count("*").alias("rows"))
+    if counts.limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")  # a model of so many would take 2 GB
+    counts = F.broadcast(counts)
     bound = most + 8 * most**0.5 + 32
     while True:
         some = rows.join(counts, "label").where((share * F.col("rows") <= bound)).select("id", "label").distinct()

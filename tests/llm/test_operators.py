@@ -251,6 +251,14 @@ def test_secret_scan(spark):
     assert secrets.scan_secrets(frame(spark, [])).count() == 0
 
 
+def test_common_words(spark):
+    texts = ["aaa bbb bbb ccc ccc Ccc x yy password: zzz", "ddd ddd éée éée ccc", None, "", "zzz"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert secrets.common_words(docs) == ["ccc", "bbb", "ddd", "éée", "aaa", "zzz"]  # the value of a password is no word
+    assert secrets.common_words(docs, most=4) == ["ccc", "bbb", "ddd", "éée"] and secrets.common_words(docs, most=3) == ["ccc"]
+    assert secrets.common_words(docs.where("false")) == []
+
+
 def test_hilbert_shards(spark):
     rows = [(i if i % 9 else None, t, ["en", "de", None][i % 3], f"src{i % 5}", None if i % 7 == 0 else i * i) for i, (_, t) in enumerate(ROWS)] * 2
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("x") for c in ("dim0", "curve", "position", "size", "shard")})
