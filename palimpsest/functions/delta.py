@@ -114,10 +114,10 @@ def encode(old: bytes, new: bytes) -> bytes:
     return b"".join(write_offset(len(t.diff)) + write_offset(len(t.extra)) + write_offset(t.seek) + t.diff + t.extra for t in plan(old, new))
 
 
-def triples(delta: bytes, new_size: int) -> list[Triple]:
+def triples(delta: bytes, new_size: int, cursor: int = 0) -> list[Triple]:
     """The triples that make new_size bytes; what follows them is ignored. Raises BadDelta with the status and
     site of the first thing that is wrong."""
-    out, at, made, cursor = [], 0, 0, 0
+    out, at, made = [], 0, 0
     while made < new_size:
         if not -INT_MAX - 1 <= cursor <= INT_MAX:  # the seek before is applied only now
             raise BadDelta(CORRUPT, 24)
@@ -138,17 +138,32 @@ def triples(delta: bytes, new_size: int) -> list[Triple]:
     return out
 
 
-def apply(old: bytes, delta: bytes, new_size: int) -> bytes:
-    """The new image."""
-    base, out, cursor = np.frombuffer(old, np.uint8), bytearray(), 0
-    for t in triples(delta, new_size):
-        n = len(t.diff)
-        if n:
-            part = np.frombuffer(t.diff, np.uint8).copy()
-            lo, hi = max(cursor, 0), min(cursor + n, len(base))
-            if lo < hi:
-                part[lo - cursor : hi - cursor] += base[lo:hi]
-            out += part.tobytes()
+def _added(diff: bytes, base: np.ndarray, cursor: int) -> bytes:
+    """diff added to the base from the cursor on."""
+    part = np.frombuffer(diff, np.uint8).copy()
+    lo, hi = max(cursor, 0), min(cursor + len(part), len(base))
+    if lo < hi:
+        part[lo - cursor : hi - cursor] += base[lo:hi]
+    return part.tobytes()
+
+
+def apply(old: bytes, delta: bytes, new_size: int, cursor: int = 0) -> bytes:
+    """The new image, or new_size bytes more of it from a base cursor on."""
+    base, out = np.frombuffer(old, np.uint8), bytearray()
+    for t in triples(delta, new_size, cursor):
+        out += _added(t.diff, base, cursor)
         out += t.extra
-        cursor += n + t.seek
+        cursor += len(t.diff) + t.seek
     return bytes(out)
+
+
+def resume(old: bytes, rest: bytes, left: int, old_off: int, diff_remaining: int, extra_remaining: int, seek: int) -> bytes:
+    """The last `left` bytes of the image: rest is the stream from where a session stopped, in the middle of a triple of
+    which so many bytes remain, its seek pending. Between triples nothing remains of the one before but its seek."""
+    if diff_remaining < 0 or extra_remaining < 0 or diff_remaining + extra_remaining > left:
+        raise BadDelta(CORRUPT, 23)
+    if diff_remaining + extra_remaining > len(rest):
+        raise BadDelta(TRUNCATED, 20 if diff_remaining > len(rest) else 21)
+    part = diff_remaining + extra_remaining
+    head = _added(rest[:diff_remaining], np.frombuffer(old, np.uint8), old_off) + rest[diff_remaining:part]
+    return head + apply(old, rest[part:], left - part, old_off + diff_remaining + seek)

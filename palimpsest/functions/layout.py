@@ -56,6 +56,8 @@ LAYOUT_2 = (
 )
 LAYOUTS = {1: LAYOUT_1, 2: LAYOUT_2}
 
+# The texts that devices log, and the names of a session's states in their order.
+STATES = ("idle", "header", "validate", "alloc", "decode", "apply", "writeback", "verify", "commit", "done", "failed")
 STATUSES = {
     0: "ok",
     -1: "invalid argument",

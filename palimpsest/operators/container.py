@@ -167,26 +167,86 @@ def verify_signatures(patches: DataFrame, provider: crypto.Provider) -> DataFram
     return mapped(rows, one, ["pair_id", "signed"], "valid boolean")
 
 
-def open_2(blob: bytes, provider: crypto.Provider) -> tuple[bytes, int, int]:
-    """(delta, status, site) of a version 2 patch whose structure is sound: key, records in order, contents."""
+def opened_records(blob: bytes, provider: crypto.Provider, start: int = 0) -> tuple[list[bytes], int, int]:
+    """(decoded contents of each record from number `start` on, status, site) of a version 2 patch whose structure is
+    sound: key, records in order, contents."""
     length, count = (int.from_bytes(blob[a : a + w], "little") for a, w in ((4, 2), (160, 4)))
     head, key = blob[:length], provider.keys.get(blob[120:136])
     if key is None:
-        return b"", L.NOT_FOUND, 41
+        return [], L.NOT_FOUND, 41
+    if start >= count:
+        return [], L.PARAM, 44
     at, out, window = length, [], 1 << blob[53]
     for i in range(count):
         size = int.from_bytes(blob[at : at + 4], "little")
-        cipher, tag = blob[at + 4 : at + 4 + size], blob[at + 4 + size : at + 4 + size + L.TAG]
-        plain = crypto.decrypt(key, blob[136:152] + i.to_bytes(8, "little"), cipher, tag, associated(head, i, size))
-        if plain is None:
-            return b"", L.AUTH, 46
-        try:
-            block = C.frame_blocks(plain)
-            out += [C.decode_block(b, window) for b in block]
-        except C.BadStream:
-            return b"", L.CORRUPT, 47
-        if len(plain) != 4 + sum(map(len, block)):
-            return b"", L.CORRUPT, 47
+        if not 0 < size <= window or at + 4 + size + L.TAG > len(blob):
+            return [], L.FORMAT, 45
+        if i >= start:
+            cipher, tag = blob[at + 4 : at + 4 + size], blob[at + 4 + size : at + 4 + size + L.TAG]
+            plain = crypto.decrypt(key, blob[136:152] + i.to_bytes(8, "little"), cipher, tag, associated(head, i, size))
+            if plain is None:
+                return [], L.AUTH, 46
+            try:
+                block = C.frame_blocks(plain)
+                out.append(b"".join(C.decode_block(b, window) for b in block))
+            except C.BadStream:
+                return [], L.CORRUPT, 47
+            if len(plain) != 4 + sum(map(len, block)):
+                return [], L.CORRUPT, 47
         at += 4 + size + L.TAG
-    delta = b"".join(out)
-    return (delta, L.OK, 0) if delta else (b"", L.CORRUPT, 47)
+    return out, L.OK, 0
+
+
+def open_2(blob: bytes, provider: crypto.Provider, start: int = 0) -> tuple[bytes, int, int]:
+    """(delta from record `start` on, status, site); a patch without any contents is corrupt."""
+    parts, status, site = opened_records(blob, provider, start)
+    delta = b"".join(parts)
+    return (delta, status, site) if delta or status != L.OK else (b"", L.CORRUPT, 47)
+
+
+def record_lengths(patches: DataFrame, provider: crypto.Provider, id_col: str = "pair_id") -> DataFrame:
+    """(id_col, index, decoded, base_d): how many delta bytes each record of sound version 2 patches holds, and where they
+    begin in the delta. A patch that does not open has no rows."""
+
+    def one(row):
+        parts, status, _ = opened_records(row["blob"], provider)
+        at, out = 0, []
+        for i, p in enumerate(parts if status == L.OK else ()):
+            out.append({id_col: row[id_col], "index": i, "decoded": len(p), "base_d": at})
+            at += len(p)
+        return out
+
+    sound = structure_2(patches.select(id_col, "blob")).where("status = 0")
+    return mapped(sound.select(id_col, "blob"), one, [id_col], "index bigint, decoded bigint, base_d bigint")
+
+
+def area_length(patches: DataFrame, id_col: str = "pair_id") -> DataFrame:
+    """(id_col, records, area): how many records version 2 patches have and how many bytes these take with length and tag."""
+    return record_rows(patches, id_col).groupBy(id_col).agg(F.count("*").alias("records"), F.sum(F.octet_length("ct") + 4 + F.octet_length("tag")).alias("area"))
+
+
+def repeated_nonces(pairs: DataFrame) -> DataFrame:
+    """The nonce prefixes that several rows of pairs (nonce_prefix) use, with how many: under one key there must be none."""
+    return pairs.groupBy("nonce_prefix").agg(F.count("*").alias("uses")).where("uses > 1")
+
+
+def signed_again(patches: DataFrame, provider: crypto.Provider) -> DataFrame:
+    """patches (pair_id, blob) of version 2 with payload checksum and signature made anew, as for a changed record area."""
+
+    def one(row):
+        blob = bytearray(row["blob"])
+        length = int.from_bytes(blob[4:6], "little")
+        blob[L.PAYLOAD_CRC_AT : L.PAYLOAD_CRC_AT + 4] = zlib.crc32(blob[length:]).to_bytes(4, "little")
+        blob[L.SIGNATURE_AT : L.SIGNATURE_AT + L.SIGNATURE_SIZE] = bytes(L.SIGNATURE_SIZE)
+        blob[L.SIGNATURE_AT : L.SIGNATURE_AT + L.SIGNATURE_SIZE] = provider.signs(L.SIGNATURE_DOMAIN + bytes(blob), True)
+        return [{"pair_id": row["pair_id"], "blob": bytes(blob)}]
+
+    return mapped(patches.select("pair_id", "blob"), one, ["pair_id"], "blob binary")
+
+
+def lzma_info(patches: DataFrame) -> DataFrame:
+    """(pair_id, lc, lp, pb, dict_size, content_size, workspace) of version 1 patches that are LZMA's; null fields and a
+    workspace of 0 where the properties are unusable."""
+    rows = L.held(patches.select("pair_id", "blob"), "h", L.header(F.col("blob"), 1)).where(F.col("h.codec_id") == L.LZMA)
+    rows = L.held(rows, "p", L.lzma_props(F.col("blob"), F.col("h.hdr_len")))
+    return rows.select("pair_id", "p.lc", "p.lp", "p.pb", "p.dict_size", "p.content_size", Z.codec_workspace(F.col("h.codec_id"), F.col("p")).alias("workspace"))

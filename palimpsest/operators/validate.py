@@ -144,3 +144,48 @@ def header_2(blob: Column, head: Column, tlvs_sound: Column, records_sound: Colu
         (~records_sound, L.FORMAT),
     ]
     return [(condition, status, 35) for condition, status in rules]
+
+
+def host_reason_1(blob: Column, head: Column) -> Column:
+    """Why a host tool refuses to parse a version 1 header, null if it does not. It knows no device, and is stricter about
+    codec flags than devices are; sizes, versions and the payload are left to them."""
+    size, flags, codec = F.octet_length(blob), head["flags"], head["codec_id"]
+    on = lambda bit: flags.bitwiseAND(F.lit(bit)) != 0
+    raw, lzma, lz4 = on(L.RAW_FLAG), on(L.LZMA_FLAG), on(L.LZ4_FLAG)
+    # The texts that host tools print.
+    reasons = [
+        (blob.isNull() | (size < L.HEADER_1), "patch is shorter than the minimum header"),
+        (head["magic"] != L.MAGIC_1, "bad magic"),
+        ((head["hdr_len"] < L.HEADER_1) | (head["hdr_len"] > size), "invalid header length"),
+        ((head["reserved"] != 0) | (flags.bitwiseAND(F.lit(0xFFFFFFFF ^ (L.SIGNED | L.RAW_FLAG | L.LZMA_FLAG | L.LZ4_FLAG))) != 0), "unsupported header flags or nonzero reserved field"),
+        (~(raw | lzma | lz4), "missing codec flag"),
+        (lz4 & lzma, "multiple codec flags are not supported"),
+        (raw & (lz4 | lzma), "raw patches cannot select a codec"),
+        ((codec == L.LZ4) & ~lz4, "LZ4 patch is missing FLAG_CODEC_LZ4"),
+        ((codec == L.LZMA) & ~lzma, "LZMA patch is missing FLAG_CODEC_LZMA"),
+        (raw != (codec == L.RAW), "raw flag and codec id disagree"),
+        (~codec.isin(L.LZ4, L.LZMA, L.RAW), "unsupported codec id in header"),
+    ]
+    out = F.lit(None).cast("string")
+    for condition, text in reversed(reasons):
+        out = F.when(condition, text).otherwise(out)
+    return out
+
+
+def host_reason_2(blob: Column, head: Column, tlvs_sound: Column) -> Column:
+    """As host_reason_1 for version 2 headers; the record area is not looked at."""
+    size, zeros = F.octet_length(blob), (lambda n: F.lit(bytes(n)))
+    length = head["hdr_len"]
+    # The texts that host tools print.
+    reasons = [
+        (blob.isNull() | (size < L.HEADER_2), "MFP2 patch is shorter than 192-byte header"),
+        ((head["magic"] != L.MAGIC_2) | (head["hdr_ver"] != L.VERSION_2) | ~length.between(L.HEADER_2, L.HEADER_2_MAX) | (length % 4 != 0) | (length > size), "invalid MFP2 header"),
+        ((head["tlv_len"] != length - L.HEADER_2) | (head["flags"] != L.REQUIRED_2) | (head["codec_id"] != L.LZ4) | ~head["block_log2"].between(8, 13), "unsupported MFP2 profile"),
+        ((head["record_count"] == 0) | (head["codec_profile"] != 0), "invalid MFP2 record/profile fields"),
+        ((head["reserved"] != zeros(8)) | (head["header_digest"] != zeros(16)) | (head["key_id"] == zeros(16)) | (F.substring(head["nonce_prefix"], 17, 8) != zeros(8)), "invalid MFP2 reserved/key fields"),
+        (~tlvs_sound, "invalid MFP2 TLV"),
+    ]
+    out = F.lit(None).cast("string")
+    for condition, text in reversed(reasons):
+        out = F.when(condition, text).otherwise(out)
+    return out

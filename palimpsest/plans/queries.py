@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crypto
@@ -17,53 +17,31 @@ from ..functions import sizing as Z
 from ..operators import container, delta, sessions
 from ..operators.validate import first_failure, header_1
 from ..sources import images as S
-from ..sources.staging import spread, stored
-
-PRODUCT, OLD_VERSION, NEW_VERSION = 0x1234, 1, 2
-KEY_ID = bytes(range(16))
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def test_provider() -> crypto.Provider:
-    """Fixed keys for the queries; not secret."""
-    seed = bytes(range(32))
-    return crypto.Provider(signing=seed, public=crypto.public_key(seed), keys={KEY_ID: bytes(range(32, 64))})
-
-
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = S.previous_pairs(_table(spark, sf_dir, "documents"))
-    numbers = {"product_id": PRODUCT, "old_version": OLD_VERSION, "fw_version": NEW_VERSION}
-    return pairs.select("pair_id", "base_id", "old", "new", *(F.lit(v).cast("long").alias(k) for k, v in numbers.items()))
-
-
-def _held_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs, dealt evenly and written once: queries read them as patches to make, devices, offers and images."""
-    return stored(spread(_pairs(spark, sf_dir), "pair_id"), "pairs")
+from ..sources.staging import stored
+from . import outcomes
+from .pairs import HEADERS_SQL, PAIRS_SQL, headers, held_pairs, pairs, second, table, test_provider
 
 
 def image_inventory(spark, sf_dir):
-    return S.inventory(S.text_images(_table(spark, sf_dir, "documents"), "doc_id", "text")).drop("crc32")
+    return S.inventory(S.text_images(table(spark, sf_dir, "documents"), "doc_id", "text")).drop("crc32")
 
 
 def image_crc32(spark, sf_dir):
-    return S.inventory(S.text_images(_table(spark, sf_dir, "documents"), "doc_id", "text")).select("image_id", "crc32")
+    return S.inventory(S.text_images(table(spark, sf_dir, "documents"), "doc_id", "text")).select("image_id", "crc32")
 
 
 def base_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("pair_id", "base_id", F.md5("old").alias("old_md5"), F.md5("new").alias("new_md5"))
+    return pairs(spark, sf_dir).select("pair_id", "base_id", F.md5("old").alias("old_md5"), F.md5("new").alias("new_md5"))
 
 
 def gram_index(spark, sf_dir):
-    bases = S.text_images(_table(spark, sf_dir, "documents"), "doc_id", "text").where("image_id is not null")
+    bases = S.text_images(table(spark, sf_dir, "documents"), "doc_id", "text").where("image_id is not null")
     return delta.gram_index(bases.select(F.col("image_id").alias("base_id"), "bytes"), "base_id", "bytes")
 
 
 def delta_kernel(spark, sf_dir):
     """Encode, parse and apply; delta_size must be new_size + 24 bytes a triple."""
-    pairs = _held_pairs(spark, sf_dir)
+    pairs = held_pairs(spark, sf_dir)
     deltas = stored(delta.encode_pairs(pairs), "deltas")
     counts = delta.parse_triples(deltas).groupBy("pair_id").agg(F.count("n").alias("triples"), F.max("site").alias("site"))
     rebuilt = delta.apply_kernel(deltas.join(pairs.select("pair_id", "old"), "pair_id"))
@@ -74,7 +52,7 @@ def delta_kernel(spark, sf_dir):
 
 def delta_relational(spark, sf_dir):
     """The same images by joins of triples and base blocks."""
-    pairs = _held_pairs(spark, sf_dir)
+    pairs = held_pairs(spark, sf_dir)
     triples = stored(delta.cursors(delta.parse_triples(delta.encode_pairs(pairs))), "triples")
     image = delta.apply_relational(triples, delta.blocks(pairs, "pair_id", "old"))
     return image.select("pair_id", F.octet_length("image").cast("long").alias("new_size"), F.md5("image").alias("image_md5"))
@@ -82,7 +60,7 @@ def delta_relational(spark, sf_dir):
 
 def triple_cursors(spark, sf_dir):
     order = F.col("o_orderkey")
-    triples = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("pair_id"), order.alias("n"), (order % 101).alias("x"), (order % 7).alias("y"), (order % 1000 - 500).alias("z"))
+    triples = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("pair_id"), order.alias("n"), (order % 101).alias("x"), (order % 7).alias("y"), (order % 1000 - 500).alias("z"))
     return delta.cursors(triples)
 
 
@@ -98,30 +76,25 @@ def _outcomes(pairs: DataFrame, patches: DataFrame, provider: crypto.Provider |
 
 def _round_trip(codec: int):
     def query(spark, sf_dir):
-        pairs = _held_pairs(spark, sf_dir)
+        pairs = held_pairs(spark, sf_dir)
         return _outcomes(pairs, container.make_patches(pairs, codec))
 
     return query
 
 
 def session_signed(spark, sf_dir):
-    provider, pairs = test_provider(), _held_pairs(spark, sf_dir)
+    provider, pairs = test_provider(), held_pairs(spark, sf_dir)
     return _outcomes(pairs, container.make_patches(pairs, provider=provider), provider)
 
 
-def _second(pairs: DataFrame, provider: crypto.Provider) -> DataFrame:
-    prefix = F.unhex(F.substring(F.sha2(F.col("pair_id").cast("string"), 256), 1, 32))
-    return container.make_patches_2(pairs.withColumn("nonce_prefix", prefix), provider, KEY_ID)
-
-
 def session_encrypted(spark, sf_dir):
-    provider, pairs = test_provider(), _held_pairs(spark, sf_dir)
-    return _outcomes(pairs, _second(pairs, provider), provider, second=True)
+    provider, pairs = test_provider(), held_pairs(spark, sf_dir)
+    return _outcomes(pairs, second(pairs, provider), provider, second=True)
 
 
 def signatures(spark, sf_dir):
     """Signed, signed with one byte of the stream changed, unsigned: valid or not."""
-    provider, pairs = test_provider(), _held_pairs(spark, sf_dir)
+    provider, pairs = test_provider(), held_pairs(spark, sf_dir)
     good = stored(container.make_patches(pairs, provider=provider), "signed")
     size = F.octet_length("blob")
     flipped = F.concat(F.substring("blob", F.lit(1), size - 1), F.unhex(F.lpad(F.hex((delta.byte_at(F.col("blob"), size - 1) + 1) % 256), 2, "0")))
@@ -132,77 +105,50 @@ def signatures(spark, sf_dir):
 
 
 def inspect(spark, sf_dir):
-    seen = container.inspect(container.make_patches(_held_pairs(spark, sf_dir), L.RAW))
+    seen = container.inspect(container.make_patches(held_pairs(spark, sf_dir), L.RAW))
     return seen.select("pair_id", "version", "codec", "flags", "product_id", "old_version", "fw_version", "old_size", "new_size", "block_log2", "payload_ok")
 
 
 def record_walk(spark, sf_dir):
     """Records of encrypted patches: every pair has a closing record of four bytes."""
-    rows = container.record_rows(_second(_held_pairs(spark, sf_dir), test_provider()))
+    rows = container.record_rows(second(held_pairs(spark, sf_dir), test_provider()))
     last = rows.groupBy("pair_id").agg(F.max_by(F.octet_length("ct"), "index").cast("long").alias("last_ct"), (F.max("index") + 1 == F.count("*")).alias("gapless"), F.min(F.octet_length("tag")).cast("long").alias("tag_bytes"))
     return last
 
 
-def _header_values() -> dict[str, Column]:
-    col = F.col
-    return {
-        "magic": F.lit(L.MAGIC_1),
-        "hdr_len": F.lit(L.HEADER_1),
-        "hdr_ver": F.when(col("o_orderkey") % 29 == 0, F.lit(0x0900)).otherwise(F.lit(L.VERSION_1)),
-        "flags": F.when(col("o_orderkey") % 23 == 0, F.lit(16)).otherwise(F.lit(L.LZ4_FLAG)),
-        "product_id": (col("o_orderkey") % 5).cast("long"),
-        "fw_version": (col("o_orderkey") % 11).cast("long"),
-        "old_size": (col("o_custkey") % 13).cast("long"),
-        "new_size": (col("o_orderkey") * 131 % 4294967296).cast("long"),
-        "payload_size": (col("o_orderkey") % 17).cast("long"),
-        "old_crc32": (col("o_orderkey") * 2654435761 % 4294967296).cast("long"),
-        "new_crc32": (col("o_custkey") * 2246822519 % 4294967296).cast("long"),
-        "payload_crc32": F.lit(0),
-        "workspace_req": (col("o_custkey") % 3000).cast("long"),
-        "old_version": (col("o_custkey") % 2 + 3).cast("long"),
-        "codec_id": F.when(col("o_orderkey") % 19 == 0, F.lit(0x7F)).otherwise(F.lit(L.LZ4)),
-        "block_log2": (col("o_custkey") % 5 + 7).cast("long"),
-    }
-
-
-def _headers(spark, sf_dir) -> DataFrame:
-    head = L.build_header(_header_values())
-    return _table(spark, sf_dir, "orders").select("o_orderkey", F.concat(head, F.lit(bytes(12))).alias("blob"))
-
-
 def header_fields(spark, sf_dir):
-    head = L.held(_headers(spark, sf_dir), "h", L.header(F.col("blob")))
+    head = L.held(headers(spark, sf_dir), "h", L.header(F.col("blob")))
     names = ["magic", "hdr_ver", "flags", "product_id", "fw_version", "old_size", "new_size", "old_crc32", "new_crc32", "workspace_req", "old_version", "codec_id", "block_log2"]
     return head.select("o_orderkey", *(F.col(f"h.{n}").alias(n) for n in names))
 
 
 def header_validate(spark, sf_dir):
     device = {"product_id": F.lit(3), "running_version": F.lit(4), "ram_budget": F.lit(4096)}
-    rows = L.held(_headers(spark, sf_dir), "h", L.header(F.col("blob")))
+    rows = L.held(headers(spark, sf_dir), "h", L.header(F.col("blob")))
     out = L.held(rows, "v", first_failure(header_1(F.col("blob"), F.col("h"), device)))
     return out.select("o_orderkey", F.col("v.status").alias("status"), F.col("v.site").alias("site"), L.status_text(F.col("v.status")).alias("text"))
 
 
 def sizes(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     size, log2 = F.octet_length("text").cast("long"), (F.col("doc_id") % 13 + 8).cast("long")
     lc, lp = F.col("doc_id") % 9, F.col("doc_id") % 5
     return docs.select("doc_id", Z.image_framing(log2, size).cast("long").alias("framing"), Z.window(F.lit(4096), log2).alias("window"), Z.v2_ctx_size(F.least(log2, F.lit(13)), F.lit(192)).alias("v2_ctx"), Z.lzma_workspace(lc, lp, size * 1000).alias("lzma"))
 
 
 def step_table(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     return sessions.steps(docs.select(F.col("doc_id").alias("pair_id"), F.octet_length("text").cast("long").alias("new_size"), F.lit(1024).alias("block")))
 
 
 def stop_table(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     return sessions.checkpoints_2(docs.select(F.col("doc_id").alias("pair_id"), F.octet_length("text").cast("long").alias("new_size"), F.lit(512).alias("flash_block")), 3)
 
 
 def checkpoint_table(spark, sf_dir):
     """Version 1 checkpoints of runs whose triples are 64, 128, ... bytes long."""
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.octet_length("text").cast("long").alias("new_size"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.octet_length("text").cast("long").alias("new_size"))
     triples = docs.where("new_size > 0").select("pair_id", "new_size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("new_size") - 1) / 96))).alias("n"))
     triples = triples.select("pair_id", "n", F.least(F.lit(96), F.col("new_size") - F.col("n") * 96).alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("z"))
     stepped = sessions.steps(docs.withColumn("block", F.lit(64)))
@@ -210,8 +156,8 @@ def checkpoint_table(spark, sf_dir):
 
 
 def device_candidates(spark, sf_dir):
-    devices = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("device_id"), (F.col("c_custkey") % 5).alias("product_id"), (F.col("c_custkey") % 2 + 3).alias("running_version"))
-    patches = _headers(spark, sf_dir).withColumnRenamed("o_orderkey", "pair_id")
+    devices = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("device_id"), (F.col("c_custkey") % 5).alias("product_id"), (F.col("c_custkey") % 2 + 3).alias("running_version"))
+    patches = headers(spark, sf_dir).withColumnRenamed("o_orderkey", "pair_id")
     return sessions.candidates(devices, patches)
 
 
@@ -238,19 +184,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stop_table": stop_table,
     "checkpoint_table": checkpoint_table,
     "device_candidates": device_candidates,
-}
-
-_PAIRS = """WITH d AS (SELECT doc_id AS pair_id, encode(text) AS new FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-    i AS (SELECT pair_id, coalesce(lag(pair_id) OVER (ORDER BY pair_id), max(pair_id) OVER ()) AS base_id FROM d),
-    p AS (SELECT i.pair_id, i.base_id, b.new AS old, d.new AS new FROM i JOIN d ON d.pair_id = i.pair_id JOIN d AS b ON b.pair_id = i.base_id) """
-_ROUND_TRIP = _PAIRS + "SELECT pair_id, 0 AS status, 0 AS site, md5(new) AS image_md5, CAST(ceil(octet_length(new) / 1024.0) AS BIGINT) AS erase_ops FROM p"
-_HEADERS = """WITH h AS (SELECT o_orderkey, CASE WHEN o_orderkey % 29 = 0 THEN 2304 ELSE 256 END AS hdr_ver,
-    CASE WHEN o_orderkey % 23 = 0 THEN 16 ELSE 8 END AS flags, o_orderkey % 5 AS product_id, o_orderkey % 11 AS fw_version,
-    o_custkey % 13 AS old_size, o_orderkey * 131 % 4294967296 AS new_size, o_orderkey % 17 AS payload_size,
-    o_orderkey * 2654435761 % 4294967296 AS old_crc32, o_custkey * 2246822519 % 4294967296 AS new_crc32,
-    o_custkey % 3000 AS workspace_req, o_custkey % 2 + 3 AS old_version,
-    CASE WHEN o_orderkey % 19 = 0 THEN 127 ELSE 1 END AS codec_id, o_custkey % 5 + 7 AS block_log2 FROM orders) """
+} | outcomes.QUERIES
 
+_ROUND_TRIP = PAIRS_SQL + "SELECT pair_id, 0 AS status, 0 AS site, md5(new) AS image_md5, CAST(ceil(octet_length(new) / 1024.0) AS BIGINT) AS erase_ops FROM p"
 ORACLE_SQL: dict[str, str] = {
     "image_inventory": "SELECT doc_id AS image_id, octet_length(encode(text)) AS size, md5(text) AS md5, sha256(text) AS sha256 FROM documents",
     "image_crc32": """WITH RECURSIVE r AS (SELECT range AS i, range AS v, 0 AS k FROM range(256)
@@ -259,12 +195,12 @@ ORACLE_SQL: dict[str, str] = {
         b AS (SELECT doc_id, hex(encode(text)) AS h, t FROM documents, tab)
         SELECT doc_id AS image_id, xor(list_reduce(list_transform(range(length(h) // 2), lambda k: ('0x' || h[2 * k + 1 : 2 * k + 2])::BIGINT),
             lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS crc32 FROM b""",
-    "base_pairs": _PAIRS + "SELECT pair_id, base_id, md5(old) AS old_md5, md5(new) AS new_md5 FROM p",
+    "base_pairs": PAIRS_SQL + "SELECT pair_id, base_id, md5(old) AS old_md5, md5(new) AS new_md5 FROM p",
     "gram_index": """WITH b AS (SELECT doc_id AS base_id, hex(encode(text)) AS h FROM documents WHERE doc_id IS NOT NULL),
         places AS (SELECT base_id, h, unnest(range(length(h) // 2 - 7)) AS pos FROM b)
         SELECT base_id, h[2 * pos + 1 : 2 * pos + 16] AS gram, min(pos)::BIGINT AS first_pos FROM places GROUP BY ALL""",
-    "delta_kernel": _PAIRS + "SELECT pair_id, octet_length(new) AS new_size, md5(new) AS image_md5, true AS exact FROM p",
-    "delta_relational": _PAIRS + "SELECT pair_id, octet_length(new) AS new_size, md5(new) AS image_md5 FROM p",
+    "delta_kernel": PAIRS_SQL + "SELECT pair_id, octet_length(new) AS new_size, md5(new) AS image_md5, true AS exact FROM p",
+    "delta_relational": PAIRS_SQL + "SELECT pair_id, octet_length(new) AS new_size, md5(new) AS image_md5 FROM p",
     "triple_cursors": """WITH t AS (SELECT o_custkey AS pair_id, o_orderkey AS n, o_orderkey % 101 AS x, o_orderkey % 7 AS y, o_orderkey % 1000 - 500 AS z FROM orders)
         SELECT *, coalesce(sum(x + y) OVER w, 0)::BIGINT AS newpos, coalesce(sum(x + z) OVER w, 0)::BIGINT AS oldpos FROM t
         WINDOW w AS (PARTITION BY pair_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
@@ -273,12 +209,12 @@ ORACLE_SQL: dict[str, str] = {
     "session_lzma": _ROUND_TRIP,
     "session_signed": _ROUND_TRIP,
     "session_encrypted": _ROUND_TRIP,
-    "signatures": _PAIRS + "SELECT pair_id, k.kind <> 'unsigned' AS signed, k.kind = 'good' AS valid, k.kind FROM p, (VALUES ('good'), ('changed'), ('unsigned')) AS k(kind)",
-    "inspect": _PAIRS + """SELECT pair_id, 1 AS version, 'raw' AS codec, 2::BIGINT AS flags, 4660::BIGINT AS product_id, 1::BIGINT AS old_version, 2::BIGINT AS fw_version,
+    "signatures": PAIRS_SQL + "SELECT pair_id, k.kind <> 'unsigned' AS signed, k.kind = 'good' AS valid, k.kind FROM p, (VALUES ('good'), ('changed'), ('unsigned')) AS k(kind)",
+    "inspect": PAIRS_SQL + """SELECT pair_id, 1 AS version, 'raw' AS codec, 2::BIGINT AS flags, 4660::BIGINT AS product_id, 1::BIGINT AS old_version, 2::BIGINT AS fw_version,
         octet_length(old) AS old_size, octet_length(new) AS new_size, least(10, greatest(8, floor(log2(octet_length(new)))))::BIGINT AS block_log2, true AS payload_ok FROM p""",
-    "record_walk": _PAIRS + "SELECT pair_id, 4::BIGINT AS last_ct, true AS gapless, 16::BIGINT AS tag_bytes FROM p",
-    "header_fields": _HEADERS + "SELECT o_orderkey, 827344461 AS magic, hdr_ver, flags, product_id, fw_version, old_size, new_size, old_crc32, new_crc32, workspace_req, old_version, codec_id, block_log2 FROM h",
-    "header_validate": _HEADERS + """, v AS (SELECT o_orderkey, CASE
+    "record_walk": PAIRS_SQL + "SELECT pair_id, 4::BIGINT AS last_ct, true AS gapless, 16::BIGINT AS tag_bytes FROM p",
+    "header_fields": HEADERS_SQL + "SELECT o_orderkey, 827344461 AS magic, hdr_ver, flags, product_id, fw_version, old_size, new_size, old_crc32, new_crc32, workspace_req, old_version, codec_id, block_log2 FROM h",
+    "header_validate": HEADERS_SQL + """, v AS (SELECT o_orderkey, CASE
             WHEN hdr_ver <> 256 THEN [-5, 3] WHEN product_id <> 3 THEN [-7, 5] WHEN fw_version <= 4 THEN [-12, 6] WHEN old_version <> 4 THEN [-8, 7]
             WHEN flags = 16 OR (flags = 8 AND codec_id <> 1) THEN [-4, 9] WHEN codec_id = 127 THEN [-5, 9]
             WHEN old_size = 0 OR new_size = 0 OR payload_size = 0 THEN [-4, 8] WHEN payload_size > 12 THEN [-10, 12]
@@ -301,6 +237,6 @@ ORACLE_SQL: dict[str, str] = {
     "checkpoint_table": """WITH s AS (SELECT doc_id AS pair_id, octet_length(encode(text)) AS n FROM documents),
         k AS (SELECT pair_id, n, unnest(range(1, n // 192 + 1)) AS j FROM s)
         SELECT pair_id, j * 3 AS step, j * 192 AS newpos FROM k WHERE j * 192 < n""",
-    "device_candidates": _HEADERS + """SELECT c_custkey AS device_id, o_orderkey AS pair_id FROM customer
+    "device_candidates": HEADERS_SQL + """SELECT c_custkey AS device_id, o_orderkey AS pair_id FROM customer
         JOIN h ON h.product_id = c_custkey % 5 AND h.old_version = c_custkey % 2 + 3 AND h.fw_version > c_custkey % 2 + 3""",
-}
+} | outcomes.oracle_sql()

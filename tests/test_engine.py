@@ -11,7 +11,8 @@ from palimpsest.functions import delta as D
 from palimpsest.functions import layout as L
 from palimpsest.functions import sizing as Z
 from palimpsest.operators import container, delta, sessions, validate
-from palimpsest.sources import images
+from palimpsest.operators import journal as journal_ops
+from palimpsest.sources import images, vectors
 from palimpsest.streaming.sessions import advance, publish_once
 
 OLD = bytes((7 * i + 3) & 255 for i in range(1500))
@@ -273,21 +274,21 @@ def test_steps_and_checkpoints(spark):
 
 def test_resume_probes(spark):
     written = bytes(range(256)) * 4
-    fields = {"magic": sessions.JOURNAL_MAGIC[1], "session_id": 77, "newpos": 300, "prefix_crc32": zlib.crc32(written[:300])}
+    fields = {"magic": journal_ops.MAGIC[1], "session_id": 77, "newpos": 300, "prefix_crc32": zlib.crc32(written[:300])}
     raw = b"".join(v.to_bytes(4, "little") for v in fields.values()) + bytes(4)
     good = fields | {"record_crc": zlib.crc32(raw)}
     variants = {1: good, 2: good | {"record_crc": 1}, 3: good | {"newpos": 0}, 4: good | {"session_id": 78}}
     journal = spark.createDataFrame([(i, *v.values()) for i, v in variants.items()], "device_id long, " + ", ".join(f"{k} long" for k in good))
     rows = spark.createDataFrame([(i, 77, 1024, 256, written) for i in range(1, 6)], "device_id long, session_id long, new_size long, flash_block long, written binary")
-    got = {r.device_id: (r.status, r.rewind) for r in sessions.probe_1(journal, rows).collect()}
+    got = {r.device_id: (r.status, r.rewind) for r in journal_ops.probe_1(journal, rows).collect()}
     assert got == {1: (0, 256), **{i: (L.NOT_FOUND, None) for i in (2, 3, 4, 5)}}
 
-    names = sessions.JOURNAL_FIELDS[2]
-    two = dict.fromkeys(names, 0) | {"magic": sessions.JOURNAL_MAGIC[2], "session_id": 77, "out_off": 1024, "old_off": -5, "d_off": 5000, "record_index": 2, "prefix_crc32": zlib.crc32(written)}
+    names = journal_ops.FIELDS[2]
+    two = dict.fromkeys(names, 0) | {"magic": journal_ops.MAGIC[2], "session_id": 77, "out_off": 1024, "old_off": -5, "d_off": 5000, "record_index": 2, "prefix_crc32": zlib.crc32(written)}
     crc = zlib.crc32(b"".join((two[n] % (1 << 32)).to_bytes(4, "little") for n in names) + bytes(4))
     journal = spark.createDataFrame([(1, *(two[n] for n in names), crc)], "device_id long, " + ", ".join(f"{n} long" for n in (*names, "record_crc")))
     rows = rows.withColumn("record_count", F.lit(3))
-    got = {r.device_id: (r.status, r.resume_at) for r in sessions.probe_2(journal, rows).collect()}
+    got = {r.device_id: (r.status, r.resume_at) for r in journal_ops.probe_2(journal, rows).collect()}
     assert got[1] == (0, 1024) and got[2] == (L.NOT_FOUND, None)
 
 
@@ -336,21 +337,67 @@ def test_pairing(spark):
 def test_stream_of_events(spark, tmp_path):
     schema = "device_id long, seq long, kind string, n long, new_size long, block long"
     steps = [
-        [(1, 1, "begin", None, 1000, 256), (1, 2, "step", 2, None, None), (2, 1, "step", 1, None, None)],
-        [(1, 3, "step", 2, None, None), (2, 2, "begin", None, 10, 4), (2, 3, "abort", None, None, None), (2, 4, "step", 1, None, None)],
+        [(1, 1, "begin", None, 1000, 256), (1, 2, "step", 2, None, None), (2, 1, "step", 1, None, None), (3, 1, "begin", None, 8, 8), (3, 2, "finish", None, None, None), (4, 1, "begin", -7, 8, 8), (4, 2, "step", 1, None, None)],
+        [(1, 3, "step", 2, None, None), (1, 4, "finish", None, None, None), (1, 5, "step", 9, None, None), (2, 2, "begin", None, 10, 4), (2, 3, "abort", None, None, None), (2, 4, "step", 1, None, None), (3, 3, "begin", None, 8, 8), (3, 4, "step", 1, None, None), (3, 5, "finish", 1, None, None)],
     ]
     source = str(tmp_path / "in")
     spark.createDataFrame(steps[0], schema).coalesce(1).write.parquet(source)
     states = advance(spark.readStream.schema(schema).parquet(source))
     query = states.writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "state")).start()
     query.processAllAvailable()
-    first = {r.device_id: tuple(r)[1:] for r in spark.table("states").collect()}
-    assert first == {1: ("decode", 512, 0), 2: ("failed", 0, -2)}
+    first = {r.device_id: tuple(r)[1:5] for r in spark.table("states").collect()}
+    assert first == {1: ("decode", 512, 0, 0), 2: ("failed", 0, -2, 32), 3: ("failed", 0, -2, 32), 4: ("failed", 0, -7, 0)}
     spark.createDataFrame(steps[1], schema).coalesce(1).write.mode("append").parquet(source)
     query.processAllAvailable()
     query.stop()
-    last = [tuple(r) for r in spark.table("states").collect()][2:]
-    assert sorted(last) == [(1, "done", 1000, 0), (2, "failed", 0, -15)]
+    last = sorted(tuple(r) for r in spark.table("states").collect())
+    assert (1, "done", 1000, 0, 0, ["apply", "writeback", "verify", "commit", "done"]) in last
+    assert (2, "failed", 0, -15, 29, ["header", "validate", "alloc", "decode", "failed"]) in last
+    assert (3, "failed", 8, -16, 31, ["header", "validate", "alloc", "decode", "apply", "writeback", "verify", "commit", "failed"]) in last
+    assert {state for r in last for state in (*r[5], "idle")} <= set(L.STATES)
+
+
+def test_records_are_written_verified_and_cleared(spark, tmp_path):
+    path = f"file://{tmp_path}/journal"
+    rows = spark.createDataFrame([(1, b"a" * 20), (2, b"b" * 64), (3, b""), (4, b"c" * 65), (5, None)], "key long, record binary")
+    assert {tuple(r) for r in journal_ops.write_records(rows, path).collect()} == {(1, 0), (2, 0), (3, -1), (4, -1), (5, -1)}
+    assert {(r.key, bytes(r.record)) for r in journal_ops.read_records(spark, path).collect()} == {(1, b"a" * 20), (2, b"b" * 64)}
+    assert [tuple(r) for r in journal_ops.clear(spark, spark.createDataFrame([(2,)], "key long"), path, 2).collect()] == [(2, 0)]
+    left = {r.key: bytes(r.record) for r in journal_ops.read_records(spark, path).collect()}
+    assert left == {1: b"a" * 20, 2: bytes(52)}
+    assert journal_ops.cleared(1)[:16] == bytes(16) and int.from_bytes(journal_ops.cleared(1)[16:], "little") == zlib.crc32(bytes(20))
+    gone = journal_ops.parsed(spark.createDataFrame([(1, journal_ops.cleared(1))], "device_id long, record binary"), 1)
+    one = spark.createDataFrame([(1, 0, 100, 16, b"x" * 50)], "device_id long, session_id long, new_size long, flash_block long, written binary")
+    assert journal_ops.probe_1(gone, one).first().status == L.NOT_FOUND
+
+
+def test_vectors_and_key_files(spark, tmp_path):
+    import lzma
+
+    filters = [{"id": lzma.FILTER_LZMA1, "lc": 3, "lp": 0, "pb": 2, "dict_size": 4096}]
+    plain = [b"", b"a", bytes(range(256)) * 9]
+    made = [(bytes([93]) + (4096).to_bytes(4, "little") + len(t).to_bytes(4, "little"), lzma.compress(t, lzma.FORMAT_RAW, filters=filters), t) for t in plain]
+    blob = vectors.vector_file(made)
+    files = spark.createDataFrame([("whole", blob), ("cut", blob[:-1]), ("none", b""), ("null", None)], "path string, blob binary")
+    rows = vectors.read_vectors(files).collect()
+    assert [(r.n, bytes(r.props), bytes(r.data), bytes(r.plain)) for r in rows if r.path == "whole"] == [(i, *v) for i, v in enumerate(made)]
+    assert {(r.path, r.n) for r in rows if not r.sound} == {("cut", 2), ("none", 0), ("null", 0)}
+    assert all(C.find(L.LZMA).decode(bytes(r.props), bytes(r.data), None) == bytes(r.plain) for r in rows if r.sound and r.plain)
+    keys = crypto.write_keys(str(tmp_path / "seed"), str(tmp_path / "public"))
+    assert (tmp_path / "seed").stat().st_mode & 0o777 == 0o600
+    assert crypto.verify((tmp_path / "public").read_bytes(), keys.signs(b"m", False), b"m") and crypto.public_key((tmp_path / "seed").read_bytes()) == keys.public
+    with pytest.raises(FileExistsError):
+        crypto.write_keys(str(tmp_path / "seed"), str(tmp_path / "other"))
+
+
+def test_host_reasons_of_version_2_and_repeated_nonces(spark, blobs):
+    good = blobs["second"]
+    cases = {"good": good, "short": good[:100], "magic": b"X" + good[1:], "profile": good[:164] + b"\1" + good[165:], "reserved": good[:168] + b"\1" + good[169:], "null": None}
+    rows = container.structure_2(spark.createDataFrame(list(cases.items()), "pair_id string, blob binary"))
+    got = {r.pair_id: r.why for r in rows.select("pair_id", validate.host_reason_2(F.col("blob"), F.col("head"), F.col("tags.sound")).alias("why")).collect()}
+    assert got == {"good": None, "short": "MFP2 patch is shorter than 192-byte header", "null": "MFP2 patch is shorter than 192-byte header", "magic": "invalid MFP2 header", "profile": "invalid MFP2 record/profile fields", "reserved": "invalid MFP2 reserved/key fields"}
+    twice = container.repeated_nonces(spark.createDataFrame([(b"a",), (b"b",), (b"a",)], "nonce_prefix binary")).collect()
+    assert [(bytes(r.nonce_prefix), r.uses) for r in twice] == [(b"a", 2)]
 
 
 def test_publishing_is_idempotent(spark, tmp_path):
