@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -73,8 +74,22 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage is cut, lost executors cost no recomputation."""
+def stored(df: DataFrame, tag: str, into: list[str] | None = None) -> DataFrame:
+    """df written to the shared folder and read again: lineage is cut, lost executors cost no recomputation. into: a list
+    that the path is added to, for discard()."""
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
+    if into is not None:
+        into.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables that nothing will read any more, and has the driver look for shuffle files that nothing refers to:
+    left to itself it does so only when its own memory runs short, while the executors' disks fill."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while paths:
+        p = hadoop.Path(paths.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import discard, stored, texts
 from .components import components
 from .shingles import mix, shingle_sets
 
 #: Buckets of the frequency table. More tell more of the rare shingles apart; any number gives the same links.
 BUCKETS = 1 << 20
 BLOCK = 1 << 14
-#: Bits of the bitmap that says which documents a pass needs: eight an id, 16 MB at most whatever their number.
+#: Bits of the bitmap that says which documents a pass needs: 64 an id, 16 MB at most whatever their number.
 LEAST_BITS_LOG2, MOST_BITS_LOG2 = 15, 27
 #: A shingle's entries are dealt over so many parts if its bucket holds COMMON more than eight times the mean.
 SALTS, COMMON = 256, 1024
@@ -102,7 +102,7 @@ class _Members:
 
     def __init__(self, ids: DataFrame) -> None:
         n = ids.count()
-        log2 = min(MOST_BITS_LOG2, max(LEAST_BITS_LOG2, (8 * n).bit_length()))
+        log2 = min(MOST_BITS_LOG2, max(LEAST_BITS_LOG2, (64 * n).bit_length()))
         self.bits = 1 << log2
         bit = ids.select(self.bit("doc_id").alias("bit"))
         parts = bit.groupBy(F.shiftright("bit", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit((1 << 15) - 1))).alias("part"))
@@ -114,9 +114,9 @@ class _Members:
     def bit(self, column: str):
         return F.xxhash64(column).bitwiseAND(F.lit(self.bits - 1))
 
-    def of(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, text, bit) of docs, for a kernel that calls some()."""
-        return docs.select("doc_id", "text", self.bit("doc_id").alias("bit"))
+    def of(self, docs: DataFrame, column: str = "text") -> DataFrame:
+        """(doc_id, column, bit) of docs, for a kernel that calls _some()."""
+        return docs.select("doc_id", column, self.bit("doc_id").alias("bit"))
 
 
 def _some(flat: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -164,6 +164,15 @@ def _sets(n: int, members):
     return run
 
 
+def _members_only(members):
+    def run(batches):
+        flat = members.value
+        for batch in batches:
+            yield _some(flat, batch).drop_columns(["bit"])
+
+    return run
+
+
 def _passes(num: int, den: int):
     """Length and positional filters of a pair x, y that share the shingle at px and py of their order."""
     length = f"least(nx, ny) * {den} >= greatest(nx, ny) * {num}"
@@ -175,18 +184,20 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
 
-def _verified(docs: DataFrame, sized: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _verified(docs: DataFrame, sized: DataFrame, pairs: DataFrame, n: int, num: int, den: int, into: list[str]) -> DataFrame:
     """The pairs (a, b) that link. The suffix filter goes first, on the counts in parts of the hash range: shingles
     in common are at most the smaller counts' sum. Sets are made again from the texts of what remains."""
-    hists = sized.select("doc_id", "hist").join(_ids(pairs), "doc_id", "left_semi")
+    members = _Members(_ids(pairs))
+    hists = members.of(sized, "hist").mapInArrow(_members_only(members.flat), "doc_id long, hist array<int>")
+    hists = stored(hists, "hists", into)
     x, y = (hists.select(F.col("doc_id").alias(k), F.col("hist").alias(f"h{k}")) for k in "ab")
     total = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + v)
     most = total(F.zip_with("ha", "hb", lambda p, q: F.least(p, q)))
     suffix = most * (num + den) >= (total("ha") + total("hb")) * num
-    near = stored(pairs.join(x, "a").join(y, "b").where(suffix).select("a", "b"), "near")
+    near = stored(pairs.join(x, "a").join(y, "b").where(suffix).select("a", "b"), "near", into)
 
     members = _Members(_ids(near))
-    sets = stored(members.of(docs).mapInArrow(_sets(n, members.flat), "doc long, tokens array<long>"), "sets")
+    sets = stored(members.of(docs).mapInArrow(_sets(n, members.flat), "doc long, tokens array<long>"), "sets", into)
     x, y = (sets.select(F.col("doc").alias(k), F.col("tokens").alias(f"t{k}")) for k in "ab")
     size, same = F.size("ta") + F.size("tb"), F.size(F.array_intersect("ta", "tb"))
     return near.join(x, "a").join(y, "b").where(same * den >= (size - same) * num).select("a", "b")
@@ -211,37 +222,47 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = docs.where("doc_id is not null")
     members = _Members(classes.select("doc_id").distinct())
     prefixes = members.of(known).mapInArrow(_prefixes(n, num, den, buckets, levels, members.flat), "doc long, n long, tokens array<long>")
+    # a place and its document's size are one number, which sorts by place
     entries = prefixes.select("doc", "n", F.posexplode("tokens").alias("p", "token"))
-    salt = F.when(F.col("token").bitwiseAND(F.lit(1)) == 1, F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).otherwise(-1)
+    entries = entries.select("token", "doc", F.shiftleft(F.col("p").cast("long"), 32).bitwiseOR(F.col("n")).alias("pn"))
+    common = F.col("token").bitwiseAND(F.lit(1)) == 1
+    entries = entries.withColumn("salt", F.when(common, F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).otherwise(-1))
     # first the documents with the fewest rarer shingles: of near copies those closest to the original
-    closest = Window.partitionBy("token", "salt").orderBy("p", "n", "doc")
-    this = F.struct("doc", "n", "p")
+    closest = Window.partitionBy("token", "salt").orderBy("pn", "doc")
+    this = F.struct("doc", "pn")
     before = [F.lag(this).over(closest).alias("prev"), F.first(this).over(closest).alias("first")]
-    entries = entries.withColumn("salt", salt).select("token", "salt", "doc", "n", "p", *before, F.lead("doc").over(closest).alias("next"))
-    entries = stored(entries.where("prev is not null or next is not null or salt >= 0"), "entries")
+    entries = entries.select("token", "doc", "pn", *before, F.lead("doc").over(closest).alias("next"))
+    first_round: list[str] = []
+    entries = stored(entries.where((F.col("prev").isNotNull()) | (F.col("next").isNotNull()) | common), "entries", first_round)
     # and of a common shingle's entries each meets the first of all parts, which near copies share with each other less than with it
-    common = entries.where("salt >= 0").select("token", "doc", "n", "p")
-    firsts = common.groupBy("token").agg(F.min(F.struct("p", "n", "doc")).alias("f"))
-    whole = common.join(firsts, "token").where("doc != f.doc").selectExpr("f.doc x", "f.n nx", "f.p px", "doc y", "n ny", "p py")
+    firsts = entries.where(common).groupBy("token").agg(F.min(F.struct("pn", "doc")).alias("o"))
+    whole = entries.where(common).select("token", "doc", "pn").join(firsts, "token").where("doc != o.doc")
 
-    near = F.explode(F.array("prev", "first")).alias("o")
-    few = entries.where("prev is not null").select("doc", "n", "p", near).selectExpr("o.doc x", "o.n nx", "o.p px", "doc y", "n ny", "p py").union(whole)
+    near = entries.where("prev is not null").select("doc", "pn", F.explode(F.array("prev", "first")).alias("o"))
+    parts = lambda o, d: f"{o}.doc x, {o}.pn & 4294967295 nx, {o}.pn >> 32 px, {d}doc y, {d}pn & 4294967295 ny, {d}pn >> 32 py".split(", ")
+    few = near.selectExpr(*parts("o", "")).union(whole.selectExpr(*parts("o", "")))
     few = stored(few.where(_passes(num, den)).selectExpr("least(x, y) a", "greatest(x, y) b").distinct(), "pairs")
-    links = _verified(known, sized, few, n, num, den)
+    links = _verified(known, sized, few, n, num, den, first_round)
     stars = stored(components(links), "stars")
 
-    entries = entries.select("token", "doc", "n", "p").join(stars.selectExpr("node doc", "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    entries = stored(entries, "placed")
-    mixed = entries.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("token")
-    entries = stored(entries.join(mixed, "token", "left_semi"), "mixed")
-    largest = entries.groupBy("token", "component").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+    placed = entries.select("token", "doc", "pn").join(stars.selectExpr("node doc", "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    placed = stored(placed, "placed", first_round)
+    by_token = Window.partitionBy("token")
+    rare = placed.where(~common).select("*", F.min("component").over(by_token).alias("least"), F.max("component").over(by_token).alias("most")).where("least != most").select(*placed.columns)
+    torn = placed.where(common).groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("token")
+    mixed = rare.union(placed.where(common).join(torn, "token", "left_semi"))
+    second_round: list[str] = []
+    mixed = stored(mixed.selectExpr("token", "doc", "pn & 4294967295 n", "pn >> 32 p", "component"), "mixed", second_round)
+    discard(spark, first_round)
+    largest = mixed.groupBy("token", "component").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
     index = lambda k: f"p{k} < n{k} - (2 * {num} * n{k} + {num + den - 1}) div {num + den} + 1"  # noqa: E731  of the shorter of two
-    x = entries.join(largest, "token").where("component != main").selectExpr("token", "main", "doc x", "n nx", "p px", "component cx")
-    y = entries.selectExpr("token", "doc y", "n ny", "p py", "component cy")
+    x = mixed.join(largest, "token").where("component != main").selectExpr("token", "main", "doc x", "n nx", "p px", "component cx")
+    y = mixed.selectExpr("token", "doc y", "n ny", "p py", "component cy")
     met = x.join(y, "token").where(f"cx != cy and (cy = main or x < y) and if(nx < ny or nx = ny and x < y, {index('x')}, {index('y')})").where(_passes(num, den))
     rest = met.selectExpr("least(x, y) a", "greatest(x, y) b").distinct().join(few, ["a", "b"], "left_anti")
-    more = _verified(known, sized, stored(rest, "pairs"), n, num, den)
-    whole = components(stars.selectExpr("node a", "component b").union(more))
+    more = _verified(known, sized, stored(rest, "pairs", second_round), n, num, den, second_round)
+    whole = stored(components(stars.selectExpr("node a", "component b").union(more)), "components")
+    discard(spark, second_round)
 
     classes = classes.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("n", "fa", "fb", F.coalesce("component", "doc_id").alias("component_id"))
     out = sized.drop("hist").join(classes, ["n", "fa", "fb"], "left")
