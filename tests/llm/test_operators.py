@@ -646,6 +646,22 @@ def test_pipeline(spark, tmp_path):
     assert strip(whole.collect()) == strip(seen["best-fit packing"])
 
 
+def test_the_pipeline_of_odd_tables(spark, tmp_path):
+    schema, other = "doc_id long, text string, lang string, source string, n_chars long", [F.lit("x").alias(c) for c in ("id", "label", "keep", "token", "bit", "_id", "row")]
+    odd = [(None, None, None, None, None), (1, "", "", "", 0), (None, "", None, None, None), (1, "", "", "", 0)]
+    for rows, items in (([], [(1, "one two three four five six")]), (odd, [])):
+        root = f"{tmp_path}/{len(rows)}"
+        spark.createDataFrame(rows, schema).select("*", *other).write.parquet(f"{root}/documents.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+        docs = spark.read.parquet(f"{root}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES:  # each on the odd table itself, since the first one drops it all
+            out = stage(spark, docs, root)
+            left = {"language ID": 0, "n-gram Jaccard join": 3}.get(name, len(rows)) if rows else 0
+            assert out.count() == left, name
+            assert name == "best-fit packing" or out.columns == list(corpus_pipeline.COLUMNS)
+        assert corpus_pipeline.run(spark, root).count() == 0
+
+
 def test_registered_queries_have_their_sql(spark):
     import duckdb
 
