@@ -32,8 +32,9 @@ WEIGHT = 40.0
 PULL = 4.0
 UNKNOWN = "und"
 #: Text counts as no language's if it is likelier in none by so much a trigram, as a natural logarithm: MARGIN more than
-#: any labelled row that the model has not seen, STRANGE at most and without such rows.
-STRANGE, MARGIN = 4.0, 0.5
+#: any labelled row that the model has not seen, for texts of ENOUGH trigrams; for shorter ones the margin grows as the
+#: mean's error does, with one over the root of their number. STRANGE at most, and without such rows.
+STRANGE, MARGIN, ENOUGH = 4.0, 2.0, 100
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _LOW = np.arange(256, dtype=np.uint8)
@@ -102,8 +103,8 @@ def _least_hashed(rows: DataFrame, most: int) -> DataFrame:
 
 
 def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, float]:
-    """(languages, log probabilities [cell, language], strangeness) from at most `sample` rows a language, and as many
-    more that the model does not see for the strangeness. The last column is the model of text in no language: any
+    """(languages, log probabilities [cell, language], familiarity) from at most `sample` rows a language, and as many
+    more that the model does not see for the familiarity, the largest gap among them. The last column is the model of text in no language: any
     trigram as likely as any other that the languages use. Of rows that repeat an id and label one counts."""
     rows = labelled.select(labelled[id_col].cast("long").alias("id"), labelled[text_col].cast("string").alias("text"), labelled[label_col].cast("string").alias("label")).where("label is not null and text is not null")
     chosen = F.broadcast(_least_hashed(rows.select("id", "label"), 2 * sample))  # 2 * `sample` ids a language
@@ -124,7 +125,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, sample:
     shared = labelled.sparkSession.sparkContext.broadcast((langs, logs, STRANGE))
     new = texts.where("k % 2 = 0").select("text").mapInArrow(_scores(shared, False), "letters long, trigrams long, text_logs array<double>")
     gaps = new.where("trigrams > 0").select(_gap(len(langs)).alias("gap")).agg(F.max("gap")).first()[0]
-    return langs, logs, STRANGE if gaps is None else min(STRANGE, max(0.0, gaps) + MARGIN)
+    return langs, logs, STRANGE if gaps is None else min(STRANGE, max(0.0, gaps))
 
 
 def _gap(k: int) -> Column:
@@ -175,12 +176,12 @@ def _posterior(logs: list[Column]) -> list[Column]:
     return [w / total for w in weights]
 
 
-def fuse(scored: DataFrame, langs: list[str], strange: float = STRANGE) -> DataFrame:
+def fuse(scored: DataFrame, langs: list[str], familiar: float = STRANGE) -> DataFrame:
     """scored (declared, host, domain, suffix, letters, text_logs, ...) with lang, posterior, text_lang.
 
     A row is in the language with the greatest posterior. It is UNKNOWN if its text holds no letter, or if the
-    model of no language explains it better than any language by `strange` a trigram: most of its trigrams are
-    then ones that no language has. Evidence that a row lacks (null, or no trigram) adds nothing.
+    model of no language explains it better than any language by more a trigram than rows of known language let
+    expect (familiar: the largest gap among those): most of its trigrams are then ones that no language has. Evidence that a row lacks (null, or no trigram) adds nothing.
     """
     k = len(langs)
     keys = ["declared", "host", "domain", "suffix"]
@@ -208,7 +209,8 @@ def fuse(scored: DataFrame, langs: list[str], strange: float = STRANGE) -> DataF
     out = out.withColumns({f"p{i}": p for i, p in enumerate(final)})
     best = F.array_max(F.array(*(F.struct(F.col(f"l{i}").alias("l"), F.lit(-i).alias("i"), F.lit(name).alias("lang"), F.col(f"p{i}").alias("p")) for i, name in enumerate(langs))))
     text_best = F.array_max(F.array(*(F.struct(F.col("text_logs")[i].alias("l"), F.lit(-i).alias("i"), F.lit(name).alias("lang")) for i, name in enumerate(langs))))
-    none = (F.col("letters") == 0) | F.coalesce(_gap(k) > strange, F.lit(False))
+    bound = F.least(F.lit(STRANGE), familiar + MARGIN * F.sqrt(ENOUGH / F.greatest(F.lit(1), F.least(F.col("trigrams"), F.lit(ENOUGH)))))
+    none = (F.col("letters") == 0) | F.coalesce(_gap(k) > bound, F.lit(False))
     lost = F.lit(UNKNOWN)
     return out.select(*scored.columns, F.when(none, lost).otherwise(best["lang"]).alias("lang"), F.when(none, F.lit(0.0)).otherwise(F.round(best["p"], 6)).alias("posterior"), F.when(none, lost).otherwise(text_best["lang"]).alias("text_lang"))
 
@@ -217,13 +219,13 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray, float], strip:
     """rows (id, text, declared, host, domain, suffix) -> (id, declared, host, domain, suffix, letters, trigrams,
     lang, posterior, text_lang), a row a row. strip: whether the text is markup. With no languages all are UNKNOWN;
     texts without a letter, null ones too, are UNKNOWN; null ids and repeated rows come back as they are."""
-    langs, _, strange = model
+    langs, _, familiar = model
     shared = rows.sparkSession.sparkContext.broadcast(model)
     kinds = "id long, declared string, host string, domain string, suffix string, letters long, trigrams long, text_logs array<double>"
     scored = rows.select("id", F.coalesce("text", F.lit("")).alias("text"), "declared", "host", "domain", "suffix").mapInArrow(_scores(shared, strip), kinds)
     if not langs:
         return scored.select(*scored.columns[:-1], F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("posterior"), F.lit(UNKNOWN).alias("text_lang"))
-    return fuse(stored(scored, "scores"), langs, strange).drop("text_logs")
+    return fuse(stored(scored, "scores"), langs, familiar).drop("text_logs")
 
 
 def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
