@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 from pyspark.sql import Column, DataFrame
@@ -74,7 +75,27 @@ def make_patches(pairs: DataFrame, codec: int = L.LZ4, block_log2: int = 10, dic
 
 def pack_2(old: bytes, new: bytes, product_id: int, old_version: int, fw_version: int, nonce_prefix: bytes, key_id: bytes, provider: crypto.Provider, record_log2: int = 13, tags: bytes = b"") -> bytes:
     """One version 2 patch: every frame, and the closing marker, is a record of its own under the header."""
-    key = provider.keys[key_id]
+    return pack_all_2([(old, new, product_id, old_version, fw_version, nonce_prefix)], key_id, provider, record_log2, tags)[0]
+
+
+def pack_all_2(images: list[tuple[bytes, bytes, int, int, int, bytes]], key_id: bytes, provider: crypto.Provider, record_log2: int = 13, tags: bytes = b"") -> list[bytes]:
+    """pack_2 of each (old, new, product_id, old_version, fw_version, nonce_prefix); the key streams are made together."""
+    key, plans = provider.keys[key_id], [_unsealed(key_id, provider.keys[key_id], record_log2, tags, *image) for image in images]
+    prefixes = [image[-1] for image in images]
+    made = iter(crypto.streams([(key, prefix + i.to_bytes(8, "little"), len(plain)) for prefix, (_, parts) in zip(prefixes, plans, strict=True) for i, plain in enumerate(parts)]))
+    out = []
+    for prefix, (head, parts) in zip(prefixes, plans, strict=True):
+        area = bytearray()
+        for i, plain in enumerate(parts):
+            area += len(plain).to_bytes(4, "little") + crypto.encrypt(key, prefix + i.to_bytes(8, "little"), plain, associated(bytes(head), i, len(plain)), next(made))
+        head[L.PAYLOAD_CRC_AT : L.PAYLOAD_CRC_AT + 4] = zlib.crc32(area).to_bytes(4, "little")
+        head[L.SIGNATURE_AT : L.SIGNATURE_AT + L.SIGNATURE_SIZE] = provider.signs(L.SIGNATURE_DOMAIN + bytes(head) + bytes(area), True)
+        out.append(bytes(head + area))
+    return out
+
+
+def _unsealed(key_id: bytes, key: bytes, record_log2: int, tags: bytes, old: bytes, new: bytes, product_id: int, old_version: int, fw_version: int, nonce_prefix: bytes) -> tuple[bytearray, list[bytes]]:
+    """(header without payload checksum and signature, contents of the records) of a version 2 patch."""
     if len(key) != 32 or len(key_id) != 16 or len(nonce_prefix) != 16 or not any(nonce_prefix) or not 8 <= record_log2 <= 13 or len(tags) % 4:
         raise ValueError("key of 32, key id and nonzero nonce prefix of 16 bytes, record_log2 8 to 13, tags in fours")
     size = (1 << record_log2) - 64  # a literal block of this size still fits a record
@@ -87,12 +108,7 @@ def pack_2(old: bytes, new: bytes, product_id: int, old_version: int, fw_version
         value = numbers.get(name, 0)
         head[at : at + width] = value if isinstance(value, bytes) else value.to_bytes(width, "little")
     head[L.HEADER_2 :] = tags
-    area = bytearray()
-    for i, plain in enumerate(parts):
-        area += len(plain).to_bytes(4, "little") + crypto.encrypt(key, nonce_prefix + i.to_bytes(8, "little"), plain, associated(bytes(head), i, len(plain)))
-    head[L.PAYLOAD_CRC_AT : L.PAYLOAD_CRC_AT + 4] = zlib.crc32(area).to_bytes(4, "little")
-    head[L.SIGNATURE_AT : L.SIGNATURE_AT + L.SIGNATURE_SIZE] = provider.signs(L.SIGNATURE_DOMAIN + bytes(head) + bytes(area), True)
-    return bytes(head + area)
+    return head, parts
 
 
 def workspace_2(record_log2: int, hdr_len: int, lz4_state: int = C.LZ4_STATE) -> int:
@@ -112,10 +128,12 @@ def make_patches_2(pairs: DataFrame, provider: crypto.Provider, key_id: bytes, r
     """(pair_id, product_id, old_version, fw_version, old, new, nonce_prefix) -> (pair_id, blob), version 2. The
     nonce prefix is an input, so that the result depends on the rows alone; it must not repeat under a key."""
 
-    def one(row):
-        return [{"pair_id": row["pair_id"], "blob": pack_2(row["old"] or b"", row["new"] or b"", row["product_id"], row["old_version"], row["fw_version"], row["nonce_prefix"], key_id, provider, record_log2, tags)}]
+    def several(rows):
+        images = [(row["old"] or b"", row["new"] or b"", row["product_id"], row["old_version"], row["fw_version"], row["nonce_prefix"]) for row in rows]
+        for row, blob in zip(rows, pack_all_2(images, key_id, provider, record_log2, tags), strict=True):
+            yield {"pair_id": row["pair_id"], "blob": blob}
 
-    return mapped(pairs.select("pair_id", "product_id", "old_version", "fw_version", "old", "new", "nonce_prefix"), one, ["pair_id"], "blob binary")
+    return mapped(pairs.select("pair_id", "product_id", "old_version", "fw_version", "old", "new", "nonce_prefix"), several, ["pair_id"], "blob binary", together=True)
 
 
 def structure_2(patches: DataFrame) -> DataFrame:
@@ -167,15 +185,39 @@ def verify_signatures(patches: DataFrame, provider: crypto.Provider) -> DataFram
     return mapped(rows, one, ["pair_id", "signed"], "valid boolean")
 
 
-def opened_records(blob: bytes, provider: crypto.Provider, start: int = 0) -> tuple[list[bytes], int, int]:
+def _walked(blob: bytes, provider: crypto.Provider, start: int) -> list[tuple[bytes, bytes, int]]:
+    """(key, nonce, size) of the records from number `start` on, as far as they are sound; none without a key."""
+    at, count, key = int.from_bytes(blob[4:6], "little"), int.from_bytes(blob[160:164], "little"), provider.keys.get(blob[120:136])
+    out, window = [], 1 << blob[53]
+    if key is None or start >= count:
+        return []
+    for i in range(count):
+        size = int.from_bytes(blob[at : at + 4], "little")
+        if not 0 < size <= window or at + 4 + size + L.TAG > len(blob):
+            break
+        if i >= start:
+            out.append((key, blob[136:152] + i.to_bytes(8, "little"), size))
+        at += 4 + size + L.TAG
+    return out
+
+
+def record_streams(wanted: list[tuple[bytes, int]], provider: crypto.Provider) -> list[list[bytes]]:
+    """The key streams that opened_records takes for each (blob, start), made together."""
+    walks = [_walked(blob, provider, start) for blob, start in wanted]
+    made = iter(crypto.streams([record for walk in walks for record in walk]))
+    return [list(itertools.islice(made, len(walk))) for walk in walks]
+
+
+def opened_records(blob: bytes, provider: crypto.Provider, start: int = 0, streams: list[bytes] | None = None) -> tuple[list[bytes], int, int]:
     """(decoded contents of each record from number `start` on, status, site) of a version 2 patch whose structure is
-    sound: key, records in order, contents."""
+    sound: key, records in order, contents. streams: those of record_streams, if they are there already."""
     length, count = (int.from_bytes(blob[a : a + w], "little") for a, w in ((4, 2), (160, 4)))
     head, key = blob[:length], provider.keys.get(blob[120:136])
     if key is None:
         return [], L.NOT_FOUND, 41
     if start >= count:
         return [], L.PARAM, 44
+    streams = record_streams([(blob, start)], provider)[0] if streams is None else streams
     at, out, window = length, [], 1 << blob[53]
     for i in range(count):
         size = int.from_bytes(blob[at : at + 4], "little")
@@ -183,7 +225,7 @@ def opened_records(blob: bytes, provider: crypto.Provider, start: int = 0) -> tu
             return [], L.FORMAT, 45
         if i >= start:
             cipher, tag = blob[at + 4 : at + 4 + size], blob[at + 4 + size : at + 4 + size + L.TAG]
-            plain = crypto.decrypt(key, blob[136:152] + i.to_bytes(8, "little"), cipher, tag, associated(head, i, size))
+            plain = crypto.decrypt(key, blob[136:152] + i.to_bytes(8, "little"), cipher, tag, associated(head, i, size), streams[i - start])
             if plain is None:
                 return [], L.AUTH, 46
             try:
@@ -197,9 +239,9 @@ def opened_records(blob: bytes, provider: crypto.Provider, start: int = 0) -> tu
     return out, L.OK, 0
 
 
-def open_2(blob: bytes, provider: crypto.Provider, start: int = 0) -> tuple[bytes, int, int]:
+def open_2(blob: bytes, provider: crypto.Provider, start: int = 0, streams: list[bytes] | None = None) -> tuple[bytes, int, int]:
     """(delta from record `start` on, status, site); a patch without any contents is corrupt."""
-    parts, status, site = opened_records(blob, provider, start)
+    parts, status, site = opened_records(blob, provider, start, streams)
     delta = b"".join(parts)
     return (delta, status, site) if delta or status != L.OK else (b"", L.CORRUPT, 47)
 
@@ -208,16 +250,17 @@ def record_lengths(patches: DataFrame, provider: crypto.Provider, id_col: str =
     """(id_col, index, decoded, base_d): how many delta bytes each record of sound version 2 patches holds, and where they
     begin in the delta. A patch that does not open has no rows."""
 
-    def one(row):
-        parts, status, _ = opened_records(row["blob"], provider)
-        at, out = 0, []
-        for i, p in enumerate(parts if status == L.OK else ()):
-            out.append({id_col: row[id_col], "index": i, "decoded": len(p), "base_d": at})
-            at += len(p)
-        return out
+    def several(rows):
+        made = record_streams([(row["blob"], 0) for row in rows], provider)
+        for row, streams in zip(rows, made, strict=True):
+            parts, status, _ = opened_records(row["blob"], provider, 0, streams)
+            at = 0
+            for i, p in enumerate(parts if status == L.OK else ()):
+                yield {id_col: row[id_col], "index": i, "decoded": len(p), "base_d": at}
+                at += len(p)
 
     sound = structure_2(patches.select(id_col, "blob")).where("status = 0")
-    return mapped(sound.select(id_col, "blob"), one, [id_col], "index bigint, decoded bigint, base_d bigint")
+    return mapped(sound.select(id_col, "blob"), several, [id_col], "index bigint, decoded bigint, base_d bigint", together=True)
 
 
 def area_length(patches: DataFrame, id_col: str = "pair_id") -> DataFrame:

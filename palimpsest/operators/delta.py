@@ -18,22 +18,35 @@ from ..functions import delta as D
 BLOCK = 4096
 
 
-def rowwise(fn: Callable[[dict], Iterator[dict] | list[dict]], schema: pa.Schema, most: int = 4096, most_bytes: int = 16 << 20):
-    """A mapInArrow kernel from a function of a row to rows. Input rows are taken one at a time; output batches end at
-    `most` rows or `most_bytes` of blobs, whichever comes first."""
+def _grouped(batches, most: int = 64, most_bytes: int = 4 << 20) -> Iterator[list[dict]]:
+    """The rows of batches in groups that end at `most` rows or `most_bytes` of blobs, whichever comes first."""
+    rows, held = [], 0
+    for batch in batches:
+        names, columns = batch.schema.names, batch.columns
+        for i in range(len(batch)):
+            rows.append({name: c[i].as_py() for name, c in zip(names, columns, strict=True)})
+            held += sum(len(v) for v in rows[-1].values() if isinstance(v, bytes))
+            if len(rows) >= most or held >= most_bytes:
+                yield rows
+                rows, held = [], 0
+    if rows:
+        yield rows
+
+
+def rowwise(fn: Callable[[dict], Iterator[dict] | list[dict]] | Callable[[list[dict]], Iterator[dict]], schema: pa.Schema, most: int = 4096, most_bytes: int = 16 << 20, together: bool = False):
+    """A mapInArrow kernel from a function of a row to rows, or (together) of a group of rows. Input rows are taken one or a
+    group at a time; output batches end at `most` rows or `most_bytes` of blobs, whichever comes first."""
     wide = [f.name for f in schema if f.type in (pa.binary(), pa.string())]
 
     def run(batches):
         rows, held = [], 0
-        for batch in batches:
-            names, columns = batch.schema.names, batch.columns
-            for i in range(len(batch)):
-                for out in fn({name: c[i].as_py() for name, c in zip(names, columns, strict=True)}):
-                    rows.append(out)
-                    held += sum(len(out.get(w) or b"") for w in wide)
-                    if len(rows) >= most or held >= most_bytes:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows, held = [], 0
+        for group in _grouped(batches, *(() if together else (1,))):
+            for out in fn(group if together else group[0]):
+                rows.append(out)
+                held += sum(len(out.get(w) or b"") for w in wide)
+                if len(rows) >= most or held >= most_bytes:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -43,11 +56,12 @@ def rowwise(fn: Callable[[dict], Iterator[dict] | list[dict]], schema: pa.Schema
 _KINDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
-def mapped(df: DataFrame, fn: Callable[[dict], list[dict]], keep: list[str], added: str) -> DataFrame:
-    """df through a row function; the result has the columns `keep` and those of the DDL `added`."""
+def mapped(df: DataFrame, fn: Callable[[dict], list[dict]] | Callable[[list[dict]], Iterator[dict]], keep: list[str], added: str, together: bool = False) -> DataFrame:
+    """df through a row function, or (together) one of groups of rows; the result has the columns `keep` and those of the
+    DDL `added`."""
     fields = [(c, t) for c, t in df.dtypes if c in keep] + [tuple(x.split()) for x in added.split(", ")]
     schema = pa.schema([(c, _KINDS[t]) for c, t in fields])
-    return df.mapInArrow(rowwise(fn, schema), ", ".join(f"`{c}` {t}" for c, t in fields))
+    return df.mapInArrow(rowwise(fn, schema, together=together), ", ".join(f"`{c}` {t}" for c, t in fields))
 
 
 def encode_pairs(pairs: DataFrame) -> DataFrame:

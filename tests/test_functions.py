@@ -1,5 +1,6 @@
 """Codecs, delta coding and cryptography against published vectors, pinned answers and round trips."""
 
+import dataclasses
 import random
 import zlib
 
@@ -196,3 +197,61 @@ def test_keys_stay_hidden():
 def test_crc_check_values():
     for text, crc in ((b"", 0), (b"123456789", 0xCBF43926), (b"a", 0xE8B7BE43)):
         assert zlib.crc32(text) == crc
+
+
+def counted(monkeypatch, name):
+    """The calls of a function of crypto, as a list that grows."""
+    calls, plain = [], getattr(crypto, name)
+    monkeypatch.setattr(crypto, name, lambda *a: calls.append(1) or plain(*a))
+    return calls
+
+
+def test_signatures_take_no_doublings_once_a_key_is_known(monkeypatch):
+    key = bytes(range(32))
+    good = crypto.sign(key, b"first")
+    assert crypto.verify(crypto.public_key(key), good, b"first")
+    calls = counted(monkeypatch, "_add")
+    again = crypto.sign(key, b"second", True)
+    assert crypto.verify(crypto.public_key(key), again, b"second", True) and not crypto.verify(crypto.public_key(key), again, b"second")
+    assert not calls
+
+
+def test_key_streams_of_many_patches_are_made_together(monkeypatch):
+    rng = random.Random(7)
+    provider = dataclasses.replace(crypto.generate(bytes(range(32))), keys={b"k" * 16: bytes(range(32, 64)), b"l" * 16: bytes(range(64, 96))})
+    images = [(rng.randbytes(200), rng.randbytes(rng.choice([0, 1, 300, 900, 3000])), 1, 1, 2, rng.randbytes(16)) for _ in range(20)]
+    calls = counted(monkeypatch, "_rounds")
+    blobs = container.pack_all_2(images, b"k" * 16, provider, 8)
+    assert len(calls) == 2 and sum(int.from_bytes(b[160:164], "little") for b in blobs) > 100
+    assert blobs == [container.pack_2(*image, b"k" * 16, provider, 8) for image in images]
+    blobs.append(container.pack_2(*images[0], b"l" * 16, provider, 8))
+    blobs.append(blobs[4][:-30])
+    calls.clear()
+    streams = container.record_streams([(b, i % 2) for i, b in enumerate(blobs)], provider)
+    assert len(calls) == 2
+    opened = [container.opened_records(b, provider, i % 2, s) for i, (b, s) in enumerate(zip(blobs, streams, strict=True))]
+    assert len(calls) == 2
+    assert opened == [container.opened_records(b, provider, i % 2) for i, b in enumerate(blobs)]
+    assert opened[-1][1] != 0 and not any(status for _, status, _ in opened[:-1:2])
+
+
+def test_lz4_matches_are_those_of_a_search_place_by_place():
+    def plain(data):
+        chains, out, done, at = {}, b"", 0, 0
+        while at < len(data) - 5:
+            chain = chains.setdefault(int.from_bytes(data[at : at + 4], "little") & 0x3FFF, [])
+            sizes = [(next((k for k in range(max(len(data) - 12 - at, 0)) if data[p + k] != data[at + k]), max(len(data) - 12 - at, 0)), p) for p in chain[-8:] if at - p < 1 << 16]
+            longest, place = max(sizes, default=(0, 0))
+            chain.append(at)
+            if longest >= 4:
+                out, at = out + C._sequence(data[done:at], longest, at - place), at + longest
+                done = at
+            else:
+                at += 1
+        return out + C._sequence(data[done:])
+
+    rng = random.Random(3)
+    for alphabet in (b"ab", b"abc", b"aaaaaab", bytes(range(60, 200))):
+        for n in (13, 14, 17, 30, 80, 200, 700):
+            data = bytes(rng.choice(alphabet) for _ in range(n))
+            assert C.compress_block(data) == plain(data) and C.decode_block(C.compress_block(data)) == data
