@@ -50,6 +50,8 @@ january february march april june july august september october november decembe
 backup public private account bearer basic string secure change enter here insert placeholder redacted xxxx""".split()
 #: How many of the texts' commonest words are taken into the dictionary, and their lengths in letters.
 MOST_WORDS, SHORTEST, LONGEST = 20_000, 3, 16
+#: A worker holds the counts of so many words, and those of one text more; Spark adds them up.
+HELD = 1 << 16
 _WORD = re.compile(rf"[^\W\d_]{{{SHORTEST},{LONGEST}}}")
 #: What is often written for a letter.
 _LEET = str.maketrans("430157@$!", "aeoistasi")
@@ -182,9 +184,9 @@ def _words(batches):
         return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            counts.update(_WORD.findall(CONTEXT.sub(" ", text or "").lower()))
-            if len(counts) > 500_000:
+        for text in batch.column("text"):
+            counts.update(_WORD.findall(CONTEXT.sub(" ", text.as_py() or "").lower()))
+            if len(counts) > HELD:
                 yield rows()
                 counts.clear()
     if counts:
@@ -227,7 +229,8 @@ def _scan(least: float, rank):
     def run(batches):
         for batch in batches:
             counts, digests, all_spans = [], [], []
-            for text in batch.column("text").to_pylist():
+            for value in batch.column("text"):
+                text = value.as_py()
                 base = base_spans(text or "")
                 counts.append([sum(k == kind for _, k, _ in base) for kind in range(3)])
                 digests.append(hashlib.sha256(written(base).encode()).hexdigest())

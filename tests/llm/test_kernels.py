@@ -255,3 +255,14 @@ def test_whole_values_are_scored():
     for text, value in cases.items():
         assert [text[i:j] for i, _, j in secrets.costly_spans(text)] == ([value] if value else []), text
     assert len(secrets.costly_spans("pwd=\"x7Kq2mZpR9 " * 20_000)) > 0  # linear in the length
+
+
+def test_counts_of_words_are_handed_on_in_parts(monkeypatch):
+    texts = [" ".join(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(i, i + 20)) for i in range(0, 600, 5)]
+    monkeypatch.setattr(secrets, "HELD", 50, raising=False)
+    parts = list(secrets._words([pa.RecordBatch.from_arrays([pa.array(t, pa.string())], names=["text"]) for t in (texts[:70], [None, ""], texts[70:])]))
+    assert max(p.num_rows for p in parts) <= 70
+    summed = Counter()
+    for p in parts:
+        summed.update(dict(zip(p.column("word").to_pylist(), p.column("n").to_pylist(), strict=True)))
+    assert summed == Counter(" ".join(texts).split())
