@@ -426,8 +426,12 @@ def test_candidates_of_one_version_are_dealt_over_parts(spark, blobs):
     blob = blobs["plain1"]
     devices = spark.createDataFrame([(d, 7, 1) for d in range(300)] + [(300, 8, 1), (301, 7, 2), (None, 7, 1)], "device_id long, product_id long, running_version long")
     ids = [None, -3, 0, *range(7 << 16, (7 << 16) + 50), *range(1 << 40, (1 << 40) + (40 << 16), 1 << 16)]
-    found = sessions.candidates(devices, spark.createDataFrame([(i, blob) for i in ids], "pair_id long, blob binary"))
-    made = [sum(1 for _ in part) for part in found.rdd.glom().collect()]
-    assert len([m for m in made if m]) > 1  # one key, several tasks
-    wanted = sorted((str(d), str(i)) for d in (*range(300), None) for i in ids)
-    assert sorted((str(d), str(i)) for d, i in found.collect()) == wanted
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of size
+    try:
+        found = sessions.candidates(devices, spark.createDataFrame([(i, blob) for i in ids], "pair_id long, blob binary"))
+        rows = found.select("device_id", "pair_id", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len({part for _, _, part in rows}) > 1  # one key, several tasks
+    assert sorted((str(d), str(i)) for d, i, _ in rows) == sorted((str(d), str(i)) for d in (*range(300), None) for i in ids)
