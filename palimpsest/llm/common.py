@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import functools
 import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +21,8 @@ BLANKS = "\t\n\x0b\f\r "
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: What a kernel gets at a time, at most: an executor holds each batch several times, on both sides and while it grows.
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,11 +80,41 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def stored(df: DataFrame, tag: str, into: list[str] | None = None) -> DataFrame:
+def lean(kernel: Callable) -> Callable:
+    """kernel, after whose last batch Arrow returns the memory that it keeps: a worker that waits for its next task, or
+    through stages without kernels, would hold it."""
+
+    @functools.wraps(kernel)
+    def run(batches):
+        yield from kernel(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is run meanwhile hands its kernels at most BATCH_ROWS rows or BATCH_BYTES (one row at least) at a time. A
+    session that asks for less gets that."""
+    now = spark._jsparkSession.sessionState().conf()  # read there, since sizes may be set with units
+    limits = {"maxRecordsPerBatch": (now.arrowMaxRecordsPerBatch(), BATCH_ROWS), "maxBytesPerBatch": (now.arrowMaxBytesPerBatch(), BATCH_BYTES)}
+    limits = {f"spark.sql.execution.arrow.{k}": v for k, v in limits.items()}
+    before = {k: spark.conf.get(k) for k in limits}
+    for k, (asked, most) in limits.items():
+        spark.conf.set(k, str(min(asked, most) if asked > 0 else most))  # 0 and less: no limit
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, tag: str, into: list[str] | None = None, kernel: bool = False) -> DataFrame:
     """df written to the shared folder and read again: lineage is cut, lost executors cost no recomputation. into: a list
-    that the path is added to, for discard()."""
+    that the path is added to, for discard(). kernel: df comes from an Arrow kernel, which gets small batches."""
     path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession) if kernel else contextlib.nullcontext():
+        df.write.parquet(path)
     if into is not None:
         into.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

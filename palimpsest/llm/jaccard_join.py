@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, stored, texts
+from .common import discard, lean, stored, texts
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -44,6 +44,7 @@ PARTS_LOG2 = 8
 
 
 def _profile(n: int, buckets: int):
+    @lean
     def run(batches):
         seen = np.zeros(buckets, np.uint32)
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("hist", pa.list_(pa.int32())), ("block", pa.int32()), ("counts", pa.binary())])
@@ -128,6 +129,7 @@ def _some(flat: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
 def _prefixes(n: int, num: int, den: int, buckets: int, levels, members):
     """The lowest bit of a token says whether its shingle is common."""
 
+    @lean
     def run(batches):
         (table, common), flat = levels.value, members.value
         for batch in batches:
@@ -149,6 +151,7 @@ def _prefixes(n: int, num: int, den: int, buckets: int, levels, members):
 
 
 def _sets(n: int, members):
+    @lean
     def run(batches):
         flat_bits = members.value
         for batch in batches:
@@ -165,6 +168,7 @@ def _sets(n: int, members):
 
 
 def _members_only(members):
+    @lean
     def run(batches):
         flat = members.value
         for batch in batches:
@@ -189,7 +193,7 @@ def _verified(docs: DataFrame, sized: DataFrame, pairs: DataFrame, n: int, num:
     in common are at most the smaller counts' sum. Sets are made again from the texts of what remains."""
     members = _Members(_ids(pairs))
     hists = members.of(sized, "hist").mapInArrow(_members_only(members.flat), "doc_id long, hist array<int>")
-    hists = stored(hists, "hists", into)
+    hists = stored(hists, "hists", into, kernel=True)
     x, y = (hists.select(F.col("doc_id").alias(k), F.col("hist").alias(f"h{k}")) for k in "ab")
     total = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + v)
     most = total(F.zip_with("ha", "hb", lambda p, q: F.least(p, q)))
@@ -197,7 +201,7 @@ def _verified(docs: DataFrame, sized: DataFrame, pairs: DataFrame, n: int, num:
     near = stored(pairs.join(x, "a").join(y, "b").where(suffix).select("a", "b"), "near", into)
 
     members = _Members(_ids(near))
-    sets = stored(members.of(docs).mapInArrow(_sets(n, members.flat), "doc long, tokens array<long>"), "sets", into)
+    sets = stored(members.of(docs).mapInArrow(_sets(n, members.flat), "doc long, tokens array<long>"), "sets", into, kernel=True)
     x, y = (sets.select(F.col("doc").alias(k), F.col("tokens").alias(f"t{k}")) for k in "ab")
     size, same = F.size("ta") + F.size("tb"), F.size(F.array_intersect("ta", "tb"))
     return near.join(x, "a").join(y, "b").where(same * den >= (size - same) * num).select("a", "b")
@@ -214,7 +218,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     num, den = threshold
     spark, docs = docs.sparkSession, texts(docs, id_col, text_col)
-    profile = stored(docs.mapInArrow(_profile(n, buckets), "doc_id long, n long, fa long, fb long, hist array<int>, block int, counts binary"), "profile")
+    profile = stored(docs.mapInArrow(_profile(n, buckets), "doc_id long, n long, fa long, fb long, hist array<int>, block int, counts binary"), "profile", kernel=True)
     sized = profile.where("block is null").select("doc_id", "n", "fa", "fb", "hist")
     classes = sized.where("n > 0 and doc_id is not null").groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("doc_id"))
     levels = _levels(spark, profile, buckets)
@@ -233,7 +237,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     before = [F.lag(this).over(closest).alias("prev"), F.first(this).over(closest).alias("first")]
     entries = entries.select("token", "doc", "pn", *before, F.lead("doc").over(closest).alias("next"))
     first_round: list[str] = []
-    entries = stored(entries.where((F.col("prev").isNotNull()) | (F.col("next").isNotNull()) | common), "entries", first_round)
+    entries = stored(entries.where((F.col("prev").isNotNull()) | (F.col("next").isNotNull()) | common), "entries", first_round, kernel=True)
     # and of a common shingle's entries each meets the first of all parts, which near copies share with each other less than with it
     firsts = entries.where(common).groupBy("token").agg(F.min(F.struct("pn", "doc")).alias("o"))
     whole = entries.where(common).select("token", "doc", "pn").join(firsts, "token").where("doc != o.doc")

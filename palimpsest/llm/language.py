@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, lean, stored
 from .shingles import column
 
 #: Labelled rows a language that the text model is fitted on, and as many to tell what is strange to it: by turns of
@@ -41,7 +41,7 @@ _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 _SPACE = 32
 _MARKUP = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^<>]*>|&#?\w+;")
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def visible(html: str | None) -> str:
@@ -135,6 +135,7 @@ def _gap(k: int) -> Column:
 
 
 def _scores(model, strip: bool):
+    @lean
     def run(batches):
         langs, logs, _ = model.value
         for batch in batches:
@@ -225,7 +226,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray, float], strip:
     scored = rows.select("id", F.coalesce("text", F.lit("")).alias("text"), "declared", "host", "domain", "suffix").mapInArrow(_scores(shared, strip), kinds)
     if not langs:
         return scored.select(*scored.columns[:-1], F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("posterior"), F.lit(UNKNOWN).alias("text_lang"))
-    return fuse(stored(scored, "scores"), langs, familiar).drop("text_logs")
+    return fuse(stored(scored, "scores", kernel=True), langs, familiar).drop("text_logs")
 
 
 def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:

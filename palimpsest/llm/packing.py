@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import lean, stored, texts
 
 #: Fixed value: how byte-level BPE cuts a text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -73,6 +73,7 @@ def encoder(path: str) -> Callable[[list[str]], Iterable[list[int]]]:
 
 
 def _pieces(path: str, size: int, end: int, with_ids: bool):
+    @lean
     def run(batches):
         encode, seen, part = encoder(path), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
@@ -169,7 +170,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     """
     docs = texts(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long, ids array<int>"
-    pieces = stored(docs.mapInArrow(_pieces(tokenizer, size, end, with_ids), schema), "pieces")
+    pieces = stored(docs.mapInArrow(_pieces(tokenizer, size, end, with_ids), schema), "pieces", kernel=True)
     by_part = pieces.groupBy("part", "length").count()
     plan = sorted(best_two_fit({r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("count").alias("n")).collect()}, size))
     length, first, _, bins, each, offset = (np.array(c, np.int64) for c in zip(*plan, strict=True)) if plan else (np.zeros(0, np.int64),) * 6

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20  # bytes hashed at a time: eight-byte work arrays of this length stay near the cache
+CHUNK = 1 << 18  # bytes hashed at a time: eight-byte work arrays of this length, 2 MB, stay near the cache
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.default_rng(20_011).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import decontaminate, hilbert, jaccard_join, language, line_dedup, neighbours, packing, queries, secrets, url_filter, warc
+from palimpsest.llm import common, decontaminate, hilbert, jaccard_join, language, line_dedup, neighbours, packing, queries, secrets, url_filter, warc
 from palimpsest.llm.common import scratch
 from palimpsest.llm.components import components
 
@@ -675,6 +675,47 @@ def test_the_pipeline_of_odd_tables(spark, tmp_path):
         assert corpus_pipeline.run(spark, root).count() == 0
 
 
+def test_kernels_of_the_pipeline_get_small_batches(spark, tmp_path, monkeypatch):
+    """However many rows a partition has and however long they are; the session's own limits come back."""
+    most = common.BATCH_BYTES
+    rng = random.Random(12)
+    docs = [(i, text_in("en", 30, rng), "en", "s", 5) for i in range(2500)] + [(10_000 + i, text_in("en", 40_000, rng), "en", "s", 5) for i in range(16)]
+    root = str(tmp_path)
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+
+    def watched(name, make):
+        def made(*options):
+            kernel = make(*options)
+
+            def run(batches):
+                def noted():
+                    for batch in batches:
+                        with open(f"{root}/{name}", "a") as f:
+                            print(len(batch), batch.nbytes, file=f)
+                        yield batch
+
+                yield from kernel(noted())
+
+            return run
+
+        return made
+
+    kernels = [(language, "_scores"), (jaccard_join, "_profile"), (jaccard_join, "_prefixes"), (packing, "_pieces")]
+    for module, name in kernels:
+        monkeypatch.setattr(module, name, watched(name, getattr(module, name)))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
+    try:
+        assert corpus_pipeline.run(spark, root).select("doc_id").distinct().count() == len(docs)
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "32m" and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    for _, name in kernels:
+        seen = [tuple(map(int, x.split())) for x in open(f"{root}/{name}")]
+        assert sum(n for n, _ in seen) >= len(docs) and max(n for n, _ in seen) <= common.BATCH_ROWS, name
+        assert max(size for _, size in seen) < most + (1 << 20), name  # a batch ends with the row that goes beyond
+
+
 def test_registered_queries_have_their_sql(spark):
     import duckdb
 
