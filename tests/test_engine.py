@@ -435,3 +435,13 @@ def test_candidates_of_one_version_are_dealt_over_parts(spark, blobs):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert len({part for _, _, part in rows}) > 1  # one key, several tasks
     assert sorted((str(d), str(i)) for d, i, _ in rows) == sorted((str(d), str(i)) for d in (*range(300), None) for i in ids)
+
+
+def test_files_of_candidates_are_small_and_whole(spark, blobs, tmp_path):
+    devices = spark.range(30).select(F.col("id").alias("device_id"), F.lit(7).cast("long").alias("product_id"), F.lit(1).cast("long").alias("running_version"))
+    patches = spark.range(60_000).select((F.col("id") * 7919 % 1_000_003).alias("pair_id"), F.lit(blobs["plain1"]).alias("blob"))
+    sessions.candidates(devices, patches).write.parquet(f"{tmp_path}/found")
+    found = spark.read.parquet(f"{tmp_path}/found")
+    assert found.count() == found.distinct().count() == 1_800_000
+    assert sum(p.stat().st_size for p in (tmp_path / "found").glob("*.parquet")) < 0.5 * 1_800_000  # as pairs in any order: over a byte each
+    assert sessions.candidates(devices.where("false"), patches).count() == sessions.candidates(devices, patches.where("false")).count() == 0
